@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tramline.llm import byte_bpe, decontamination, line_dedup
+from tramline.llm import byte_bpe, decontamination, line_dedup, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op10_decontamination": decontamination.op10_decontamination,
