@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tramline.llm import byte_bpe, decontamination, line_dedup, quality, simhash, token_store, toxicity
+from tramline.llm import byte_bpe, decontamination, embedding_join, line_dedup, quality, simhash, token_store, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_embedding_join": embedding_join.op4_embedding_join,
     "op5_token_store": token_store.op5_token_store,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
