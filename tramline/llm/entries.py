@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tramline.llm import byte_bpe, decontamination, embedding_join, line_dedup, quality, simhash, token_store, toxicity
+from tramline.llm import byte_bpe, decontamination, embedding_join, line_dedup, quality, simhash, site_style_tree, token_store, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_store": token_store.op5_token_store,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op9_site_style_tree": site_style_tree.op9_site_style_tree,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 
