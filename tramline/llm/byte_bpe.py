@@ -190,14 +190,17 @@ def encoded(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
         for batch in batches:
             counts, lists, encoded_hash, decoded_hash = [], [], [], []
             for text in batch.column(1).to_pylist():
-                ids = bpe.encode(text or "").tolist()
+                packed = bpe.encode(text or "")
+                ids = packed.tolist()
                 counts.append(len(ids))
                 if with_ids:
-                    lists.append(ids)
+                    lists.append(packed.astype(np.int32))
                 encoded_hash.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 decoded_hash.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64())]
-            columns += [pa.array(lists, pa.list_(pa.int32()))] if with_ids else []
+            if with_ids:
+                ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *lists]))))
             columns += [pa.array(encoded_hash, pa.string()), pa.array(decoded_hash, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"])
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tramline.llm import byte_bpe, decontamination, embedding_join, line_dedup, quality, simhash, site_style_tree, token_store, toxicity
+import corpus_pipeline
+from tramline.llm import byte_bpe, decontamination, embedding_join, line_dedup, pii, quality, simhash, site_style_tree, token_store, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,8 +13,10 @@ QUERIES = {
     "op5_token_store": token_store.op5_token_store,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_pii": pii.op8_pii,
     "op9_site_style_tree": site_style_tree.op9_site_style_tree,
     "op10_decontamination": decontamination.op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
