@@ -37,19 +37,23 @@ def epoch_of_rfc3339(text: Column) -> Column:
     return F.unix_timestamp(F.try_to_timestamp(text))
 
 
+def wall_seconds(ntz: Column) -> Column:
+    """Seconds from 1970 of a timestamp without zone, whatever the session's zone."""
+    return F.timestamp_diff("SECOND", F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)), ntz)
+
+
 def service_midnight(date: Column, zone: Column | str) -> Column:
     """The instant that a service day's seconds count from: local noon less 12 hours, which daylight saving can't
     move off. As epoch seconds. [F6]"""
     noon = F.make_timestamp_ntz(F.year(date), F.month(date), F.dayofmonth(date), F.lit(12), F.lit(0), F.lit(0))
-    utc = F.to_utc_timestamp(noon.cast("timestamp"), zone if isinstance(zone, Column) else F.lit(zone))
-    return F.unix_timestamp(utc) - 43_200
+    return wall_seconds(F.convert_timezone(zone if isinstance(zone, Column) else F.lit(zone), F.lit("UTC"), noon)) - 43_200
 
 
 def local_epoch(local: Column, zone: Column | str) -> Column:
     """A local wall time (timestamp_ntz) to epoch seconds: the earlier of two instants, null in a gap. [F7]"""
     zone = zone if isinstance(zone, Column) else F.lit(zone)
-    utc = F.to_utc_timestamp(local.cast("timestamp"), zone)
-    return F.when(F.from_utc_timestamp(utc, zone) == local.cast("timestamp"), F.unix_timestamp(utc))
+    utc = F.convert_timezone(zone, F.lit("UTC"), local)
+    return F.when(F.convert_timezone(F.lit("UTC"), zone, utc) == local, wall_seconds(utc))
 
 
 def twelve_to_twentyfour(text: Column) -> Column:
