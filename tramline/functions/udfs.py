@@ -7,6 +7,7 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def jaro(a: str, b: str) -> float:
@@ -44,12 +45,12 @@ def jaro_winkler(a: str | None, b: str | None, scale: float = 0.1) -> float | No
     return base + common * scale * (1 - base) if base > 0.7 else base
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_unescaped(text: pd.Series) -> pd.Series:
     """All character references. [F14]"""
     return text.map(lambda t: None if t is None else html.unescape(t))
@@ -126,14 +127,14 @@ def clipped(a: tuple[float, float], b: tuple[float, float], box: tuple[float, fl
     return None if t0 > t1 else ((a[0] + t0 * dx, a[1] + t0 * dy), (a[0] + t1 * dx, a[1] + t1 * dy))
 
 
-_LINE = "array<struct<lon:double,lat:double>>"
+_LINE = T.ArrayType(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
 
 
 def _points(row) -> list[tuple[float, float]]:
     return [(p["lon"], p["lat"]) for p in row]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def polyline_udf(lines: pd.Series) -> pd.Series:
     return lines.map(lambda row: None if row is None else polyline(_points(row)))
 
@@ -143,13 +144,13 @@ def simplify_udf(line, tolerance):
     return None if line is None else [{"lon": x, "lat": y} for x, y in simplified(_points(line), tolerance)]
 
 
-@F.udf("binary", useArrow=True)
+@F.udf(T.BinaryType(), useArrow=True)
 def deflated(data):
     """[F29]"""
     return None if data is None else zlib.compress(bytes(data))
 
 
-@F.udf("binary", useArrow=True)
+@F.udf(T.BinaryType(), useArrow=True)
 def inflated(data):
     return None if data is None else zlib.decompress(bytes(data))
 

@@ -68,10 +68,13 @@ def valid_pathways(pathways: DataFrame) -> DataFrame:
 
 def without_banned(alerts: DataFrame, texts: str, banned: list[str]) -> DataFrame:
     """Alerts none of whose texts (array column) holds a banned sentence. [P17]"""
-    hit = F.lit(False)
-    for sentence in banned:
-        hit = hit | F.coalesce(F.exists(texts, lambda t, s=sentence: F.contains(t, F.lit(s))), F.lit(False))
-    return alerts.where(~hit)
+    def any_in(text: Column) -> Column:
+        hit = F.lit(False)
+        for sentence in banned:
+            hit = hit | F.contains(text, F.lit(sentence))
+        return F.coalesce(hit, F.lit(False))
+
+    return alerts.where(~F.coalesce(F.exists(texts, any_in), F.lit(False)))
 
 
 def rolled_out(countries: Column, regions: Column, country: str = "CA", allowed: tuple[str, ...] = ("us-ca", "us-il", "us-ny", "us-dc", "us-ma")) -> Column:

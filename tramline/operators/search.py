@@ -16,10 +16,9 @@ def tokens(text: Column) -> Column:
 
 def station_tokens(text: Column) -> Column:
     """Tokens without the words that most stations share, with abbreviations written out. [D33]"""
+    full = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
     words = F.filter(tokens(text), lambda w: ~w.isin(*STOP_WORDS))
-    for short, long in SYNONYMS.items():
-        words = F.transform(words, lambda w, s=short, o=long: F.when(w == s, o).otherwise(w))
-    return words
+    return F.transform(words, lambda w: F.coalesce(F.try_element_at(full, w), w))
 
 
 def postings(documents: DataFrame, ident: str, words: Column) -> DataFrame:

@@ -63,7 +63,7 @@ def in_polygons(points: DataFrame, polygons: DataFrame, point_id: str = "point_i
     ``polygons``: area_id, ring (array of lon, lat structs, closed or not). Areas are broadcast as boxes and rings where
     Spark finds them small; a point meets only those whose box holds it, and crossings are counted within the row.
     """
-    box = [F.aggregate("ring", F.lit(first), lambda a, p, f=field, g=pick: g(a, p[f])).alias(name) for name, field, pick, first in (("w", "lon", F.least, 1e9), ("e", "lon", F.greatest, -1e9), ("s", "lat", F.least, 1e9), ("n", "lat", F.greatest, -1e9))]
+    box = [pick(F.col(f"ring.{field}")).alias(name) for name, field, pick in (("w", "lon", F.array_min), ("e", "lon", F.array_max), ("s", "lat", F.array_min), ("n", "lat", F.array_max))]
     areas = polygons.select("area_id", "ring", *box)
     near = points.join(areas, (F.col("lon") >= F.col("w")) & (F.col("lon") <= F.col("e")) & (F.col("lat") >= F.col("s")) & (F.col("lat") <= F.col("n")))
     ahead = F.concat(F.slice("ring", 2, F.size("ring") - 1), F.slice("ring", 1, 1))
