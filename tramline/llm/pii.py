@@ -164,7 +164,7 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     def named(column: str) -> Column:
         return F.transform(column, lambda c: F.struct(F.get(names, c["k"]).alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
 
-    counts = [F.size(F.filter("base", lambda c, i=i: c["k"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [F.expr(f"cast(size(filter(base, c -> c.k = {i})) AS long) AS n_{k}") for i, k in enumerate(KINDS)]
     return spans.select(F.col("id").alias(id_col), named("base").alias("base"), named("spans").alias("spans"), *counts)
 
 
