@@ -13,6 +13,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,8 @@ from tramline.llm.shared import fresh_path, read_table
 MAGIC = b"TRLTOK01"
 #: Characters of text that a shard is planned for.
 SHARD_CHARS = 8_000_000
-MEMO_ENTRIES = 400_000
+#: Parts that a worker remembers at most between batches.
+MEMO_ENTRIES = 600_000
 _SAMPLE = 256
 _FOOTER = struct.Struct("<8sBQQQqQQQ")  # magic, id width, documents, nulls, ids, least id, lengths of the three sections
 
@@ -158,40 +160,65 @@ class Shard:
             start = end
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(prints)]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class ChunkEncoder:
-    """The tokenizers library over whole texts, each distinct chunk between spaces encoded once.
+    """The tokenizers library's byte-level BPE over whole texts, with each distinct piece encoded once.
 
-    Byte-level pre-tokenising starts a piece at every space before a non-space, and merges stay within a piece, so
-    the ids of a text are those of its chunks; ``tests/llm`` holds this against the library on whole texts.
+    Byte-level pre-tokenising starts a piece at every space before a non-space, and merges stay within a piece, so a
+    text's ids are those of its pieces, which the library's model encodes; parts between spaces are remembered too.
+    ``tests/llm`` holds the result against the library on whole texts.
     """
 
     def __init__(self, path: str, end_id: int):
+        import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.width = 2 if max(self.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        self.end = np.array([end_id], f"<u{self.width}").tobytes()
-        self.border, self.odd = regex.compile(r" (?=\S)"), regex.compile(r" (?!\S)")
-        self.memo: dict[str, bytes] = {}
+        library = Tokenizer.from_file(path)
+        self.model = library.model
+        self.kind = "H" if max(library.get_vocab_size(), end_id + 1) <= 1 << 16 else "I"
+        self.width = array(self.kind).itemsize
+        self.end = array(self.kind, [end_id]).tobytes()
+        self.letters = _byte_letters()
+        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
+        self.border, self.odd = regex.compile(r" (?=\S)"), regex.compile(r"\s\s|\s\Z")
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _part(self, text: str) -> bytes:
+        known, found = self.known, []
+        for piece in self.pieces(text):
+            ids = known.get(piece)
+            if ids is None:
+                tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+                ids = known[piece] = array(self.kind, [t.id for t in tokens]).tobytes()
+            found.append(ids)
+        return b"".join(found)
+
+    def _learn(self, memo: dict[str, bytes], parts: set[str], lead: str) -> None:
+        """Encode the parts that ``memo`` lacks; beyond its bound only what these texts need stays in it."""
+        new = parts.difference(memo)
+        if len(memo) + len(new) > MEMO_ENTRIES:
+            for key in memo.keys() - parts:
+                del memo[key]
+        if len(self.known) > MEMO_ENTRIES:
+            self.known.clear()
+        memo.update((x, self._part(x if x[:1] == "\n" else lead + x)) for x in new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = []
-        for text in texts:
-            first, *later = self.border.split(text) if self.odd.search(text) else text.split(" ")
-            chunks.append([first, *[" " + x for x in later]])
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        memo = self.memo
-        new = list({x for own in chunks for x in own if x not in memo})
-        fresh = dict(zip(new, (np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        memo.update((k, v) for k, v in fresh.items() if len(k) < 100)
-        look = {**{k: v for k, v in fresh.items() if len(k) >= 100}}
-        if not look:
-            return [b"".join([*map(memo.__getitem__, own), self.end]) for own in chunks]
-        return [b"".join([*(look[x] if x in look else memo[x] for x in own), self.end]) for own in chunks]
+        # where no two blanks meet, a line end is a piece of its own and may start a part in a space's place
+        cut = [self.border.split(t) if self.odd.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        self._learn(self.first, {own[0] for own in cut}, "")
+        self._learn(self.later, set().union(*(own[1:] for own in cut)), " ")
+        first, later = self.first, self.later
+        return [b"".join([first[own[0]], *map(later.__getitem__, own[1:]), self.end]) for own in cut]
 
 
 def write_shards(docs: DataFrame, tokenizer: str, out: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_chars: int = SHARD_CHARS) -> list[dict]:
