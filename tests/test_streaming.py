@@ -1,22 +1,33 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tramline.streaming import operators as S
 
 
+def wait(query, batches):
+    """Until so many batches had rows. Operators with a processing-time limit never come to rest, so no processAllAvailable."""
+    end = time.time() + 60
+    while sum(p["numInputRows"] > 0 for p in query.recentProgress) < batches:
+        if not query.isActive or time.time() > end:
+            raise AssertionError(query.exception() or "the stream stands still")
+        time.sleep(0.2)
+
+
 @pytest.fixture
 def run(spark, tmp_path):
     """Feed batches of rows through a streaming operator, one after the other, and return what each one gave."""
 
-    def go(schema, batches, build, mode="append"):
+    def go(schema, batches, build, mode="append", rests=False):
         source, out = tmp_path / "in", []
         source.mkdir()
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-        query = build(stream).writeStream.outputMode(mode).foreachBatch(lambda df, i: out.append(sorted(map(tuple, df.collect()), key=repr))).option("checkpointLocation", str(tmp_path / "c")).start()
+        query = build(stream).writeStream.trigger(processingTime="300 milliseconds").outputMode(mode).foreachBatch(lambda df, i: out.append(sorted(map(tuple, df.collect()), key=repr))).option("checkpointLocation", str(tmp_path / "c")).start()
         try:
-            for rows in batches:
+            for n, rows in enumerate(batches, 1):
                 spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
-                query.processAllAvailable()
+                query.processAllAvailable() if rests else wait(query, n)
         finally:
             query.stop()
         return [x for x in out if x]
@@ -52,7 +63,7 @@ def test_windows_drop_late_rows(run):
     import datetime as dt
 
     at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
-    got = run("ts timestamp, k string", [[(at(1), "a"), (at(2), "a")], [(at(100), "a")], [(at(3), "a")], [(at(300), "a")]], lambda s: S.windowed(s, "ts", "10 minutes"))
+    got = run("ts timestamp, k string", [[(at(1), "a"), (at(2), "a")], [(at(100), "a")], [(at(3), "a")], [(at(300), "a")]], lambda s: S.windowed(s, "ts", "10 minutes"), rests=True)
     assert [r[2] for b in got for r in b] == [2, 1]
 
 
