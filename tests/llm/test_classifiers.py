@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tramline.llm import quality, toxicity
 from tramline.llm.factorization import FactorizationMachine
 
-SF = "/root/testdata/sf0.01"
+SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def auc(scores, labels):
@@ -31,9 +31,10 @@ def test_a_pair_without_single_effects_is_learnt():
     assert np.mean([(model.score(model.columns(r)) >= 0.5) == y for r, y in zip(rows, labels, strict=True)]) > 0.9
 
 
-@pytest.mark.parametrize(("query", "label", "least"), [(quality.op6_quality, "quality", 0.95), (toxicity.op7_toxicity, "toxic", 0.9)])
+@pytest.mark.parametrize(("query", "label", "least"), [(quality.op6_quality, "quality", 0.95), (toxicity.op7_toxicity, "toxic", 0.95)])
 def test_held_out_rows_are_ranked_well(spark, query, label, least):
-    rows = query(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").select("score", label).collect()
+    """The larger tables: the smaller ones hold back six toxic rows."""
+    rows = query(spark, LARGER).join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id").where("held_out").select("score", label).collect()
     assert auc([r[0] for r in rows], [r[1] for r in rows]) >= least
 
 

@@ -9,7 +9,7 @@ from tramline.llm import factorization as fm
 from tramline.llm.shared import read_table
 from tramline.llm.text_features import word_buckets
 
-OPTIONS = {"features": 1024, "epochs": 12, "positive_weight": 4.0}
+OPTIONS = {"features": 512, "min_rows": 3, "epochs": 12, "positive_weight": 4.0}
 INPUTS = ["text"]
 THRESHOLD = 0.5
 
