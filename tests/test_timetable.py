@@ -130,7 +130,7 @@ def test_overlay_with_an_arrival_only_and_alerts(spark):
 
 
 def test_claiming():
-    today = D(2024, 6, 15)
+    today = D(2024, 6, 13)  # an interval that ended over five days before is dropped
     assert claim([(2, D(2024, 6, 10), D(2024, 7, 1)), (1, D(2024, 5, 1), D(2024, 6, 30))], today) == [(2, D(2024, 6, 10), D(2024, 7, 1), True), (1, D(2024, 5, 1), D(2024, 6, 9), False)]
     assert [r[0] for r in claim([(3, None, None), (2, D(2024, 1, 1), None)], today)] == [3]
     assert claim([], today) == []
