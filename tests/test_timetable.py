@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions import clock
 from tramline.operators import calendar, departures, realtime, timetable
-from tramline.operators.claims import claim
+from tramline.operators.claims import claimed_intervals
 
 D = dt.date
 
@@ -129,11 +129,16 @@ def test_overlay_with_an_arrival_only_and_alerts(spark):
     assert [(r.stop_cancelled, r.trip_cancelled) for r in out] == [(True, False), (False, False)]
 
 
-def test_claiming():
+def test_claiming(spark):
     today = D(2024, 6, 13)  # an interval that ended over five days before is dropped
-    assert claim([(2, D(2024, 6, 10), D(2024, 7, 1)), (1, D(2024, 5, 1), D(2024, 6, 30))], today) == [(2, D(2024, 6, 10), D(2024, 7, 1), True), (1, D(2024, 5, 1), D(2024, 6, 9), False)]
-    assert [r[0] for r in claim([(3, None, None), (2, D(2024, 1, 1), None)], today)] == [3]
-    assert claim([], today) == []
+
+    def claim(attempts):
+        df = spark.createDataFrame([("f", *x) for x in attempts], "feed_id string, attempt_id long, start_date date, end_date date")
+        return [tuple(r)[1:] for r in claimed_intervals(df, today).orderBy("attempt_id", ascending=False).collect()]
+
+    assert claim([(2, D(2024, 6, 10), D(2024, 7, 1)), (1, D(2024, 5, 1), D(2024, 6, 30))]) == [(2, D(2024, 6, 10), D(2024, 7, 1), True), (1, D(2024, 5, 1), D(2024, 6, 9), False)]
+    assert [r[0] for r in claim([(3, None, None), (2, D(2024, 1, 1), None)])] == [3]
+    assert claim([]) == []
 
 
 def test_detour(spark):

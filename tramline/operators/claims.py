@@ -4,48 +4,29 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 GRACE_DAYS = 5
 
 
-def claim(rows: list[tuple], today: dt.date, grace: int = GRACE_DAYS) -> list[tuple]:
-    """(id, start, end) newest first to (id, start, end, current): an older one ends the day before the newest kept one starts.
-
-    One that has then ended over ``grace`` days ago, or starts no earlier than what is claimed, or comes after one
-    without a start, is dropped; the first that holds today is current.
-    """
-    out, claimed, open_start = [], None, False
-    for ident, start, end in rows:
-        if open_start:
-            break
-        if claimed is not None:
-            last = claimed - dt.timedelta(days=1)
-            end = last if end is None else min(end, last)
-        if end is not None and (end < today - dt.timedelta(days=grace) or start is not None and end < start):
-            continue
-        out.append((ident, start, end))
-        if start is None:
-            open_start = True
-        else:
-            claimed = start
-    now = next((i for i, (_, start, end) in enumerate(out) if (start is None or start <= today) and (end is None or end >= today)), None)
-    return [(*row, i == now) for i, row in enumerate(out)]
-
-
 def claimed_intervals(attempts: DataFrame, today: dt.date, grace: int = GRACE_DAYS) -> DataFrame:
-    """``attempts``: feed_id, attempt_id (long, larger is newer), start_date, end_date. [A24]
+    """``attempts``: feed_id, attempt_id (long, larger is newer), start_date, end_date. Gives feed_id, attempt_id, start_date, end_date, current. [A24]
 
-    A fold over a feed's attempts from the newest on; its state is the last kept start, which no window frame gives.
-    Groups are a feed's few attempts.
+    From the newest on, an older one ends the day before the newest kept one starts. One that has then ended over
+    ``grace`` days ago, or starts no earlier than what is claimed, or comes after one without a start, is dropped;
+    the first that holds today is current. A feed's few attempts are folded in an array, whose state is the last kept
+    start, which no window frame gives.
     """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        day = lambda x: None if pd.isna(x) else x
-        rows = [(r.attempt_id, day(r.start_date), day(r.end_date)) for r in group.sort_values("attempt_id", ascending=False).itertuples()]
-        found = claim(rows, today, grace)
-        return pd.DataFrame([(group["feed_id"].iloc[0], *r) for r in found], columns=["feed_id", "attempt_id", "start_date", "end_date", "current"])
-
-    kind = dict(attempts.dtypes)["feed_id"]
-    return attempts.groupBy("feed_id").applyInPandas(fold, f"feed_id {kind}, attempt_id long, start_date date, end_date date, current boolean")
+    row = "struct<attempt_id:bigint,start_date:date,end_date:date>"
+    day = f"DATE'{today.isoformat()}'"
+    start = f"named_struct('out', cast(array() AS array<{row}>), 'claimed', cast(NULL AS date), 'open', false)"
+    end = "IF(a.claimed IS NULL, r.end_date, least(r.end_date, date_sub(a.claimed, 1)))"
+    gone = f"{end} IS NOT NULL AND ({end} < date_sub({day}, {grace}) OR coalesce({end} < r.start_date, false))"
+    kept = f"concat(a.out, array(named_struct('attempt_id', r.attempt_id, 'start_date', r.start_date, 'end_date', {end})))"
+    step = f"IF(a.open OR {gone}, a, named_struct('out', {kept}, 'claimed', coalesce(r.start_date, a.claimed), 'open', r.start_date IS NULL))"
+    holds = f"coalesce(r.start_date <= {day}, true) AND coalesce(r.end_date >= {day}, true)"
+    given = F.sort_array(F.collect_list(F.struct(F.col("attempt_id").cast("long").alias("attempt_id"), "start_date", "end_date")), asc=False)
+    folded = attempts.groupBy("feed_id").agg(given.alias("rows")).select("feed_id", F.expr(f"aggregate(rows, {start}, (a, r) -> {step}, a -> a.out)").alias("out"))
+    first = folded.select("feed_id", F.expr(f"get(filter(out, r -> {holds}), 0).attempt_id").alias("now"), F.explode("out").alias("r"))
+    return first.select("feed_id", "r.attempt_id", "r.start_date", "r.end_date", F.col("r.attempt_id").eqNullSafe(F.col("now")).alias("current"))
