@@ -57,3 +57,16 @@ def test_edge_cases(spark, tmp_path):
     assert [(r[0], r[1], r[2]) for r in got] == [(None, 0, 2), (1, 2, 1), (2, 3, 1), (2, 4, 2), (2, 6, 2)]
     assert token_store.write_shards(docs.limit(0), PATH, f"file://{tmp_path}/b") == []
     assert token_store.read_shards(spark, f"file://{tmp_path}/b").count() == 0
+
+
+def test_query_gives_special_tokens_their_ids_as_the_library_does(spark, tmp_path):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "plain words", None, " <|endoftext|>  <|endoftext|>\n x<|endoftext", "after", *[t for t in ODD_TEXTS if t]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(PATH)
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+    want, start = [], 0
+    for doc_id, text in enumerate(texts):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, token_store.op5_token_store(spark, str(tmp_path)).collect())) == want

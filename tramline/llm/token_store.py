@@ -172,15 +172,18 @@ class ChunkEncoder:
 
     Byte-level pre-tokenising starts a piece at every space before a non-space, and merges stay within a piece, so a
     text's ids are those of its pieces, which the library's model encodes; parts between spaces are remembered too.
-    ``tests/llm`` holds the result against the library on whole texts.
+    Texts that hold an added token of the file go through the library whole; as in the library, special ones count
+    as plain text under ``encode_special_tokens``. ``tests/llm`` holds the result against the library on whole texts.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, encode_special_tokens: bool = False):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
+        self.library = library = Tokenizer.from_file(path)
+        library.encode_special_tokens = encode_special_tokens
+        self.added = [t.content for t in library.get_added_tokens_decoder().values() if not (t.special and encode_special_tokens)]
         self.model = library.model
         self.kind = "H" if max(library.get_vocab_size(), end_id + 1) <= 1 << 16 else "I"
         self.width = array(self.kind).itemsize
@@ -213,6 +216,15 @@ class ChunkEncoder:
         memo.update((x, self._part(x if x[:1] == "\n" else lead + x)) for x in new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = {i: array(self.kind, self.library.encode(t, add_special_tokens=False).ids).tobytes() + self.end for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        if whole:
+            rest = iter(self._encode([t for i, t in enumerate(texts) if i not in whole]))
+            return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         # where no two blanks meet, a line end is a piece of its own and may start a part in a space's place
         cut = [self.border.split(t) if self.odd.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
         self._learn(self.first, {own[0] for own in cut}, "")
@@ -221,9 +233,11 @@ class ChunkEncoder:
         return [b"".join([first[own[0]], *map(later.__getitem__, own[1:]), self.end]) for own in cut]
 
 
-def write_shards(docs: DataFrame, tokenizer: str, out: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_chars: int = SHARD_CHARS) -> list[dict]:
+def write_shards(docs: DataFrame, tokenizer: str, out: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_chars: int = SHARD_CHARS, encode_special_tokens: bool = True) -> list[dict]:
     """Encode every text, end each document with ``end_id`` and write shard files in ascending order of ``id_col``.
 
+    ``encode_special_tokens`` is the library's setting: if set, a special token's name in a text is plain text; the
+    library's own default, which ``op5_token_store`` follows, is to give it the token's id.
     ``out`` is a folder that driver and executors share, as a URI. Returns the manifest (also written there): per
     shard its file, documents, ids, and the ids in all shards before. Null or empty texts are just the end id; null
     ids come first; repeated ids stay in one shard, ordered by their ids' bytes; other columns are not read; an empty
@@ -240,7 +254,7 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str, *, id_col: str = "do
     cuts = sorted(set(cuts or []))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, borders = ChunkEncoder(tokenizer, end_id), np.array(cuts, np.int64)
+        encoder, borders = ChunkEncoder(tokenizer, end_id, encode_special_tokens), np.array(cuts, np.int64)
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
@@ -308,5 +322,5 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = fresh_path(spark, "token-store")
     out = out if "://" in out else f"file://{out}"
-    write_shards(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), out)
+    write_shards(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), out, encode_special_tokens=False)
     return read_shards(spark, out)
