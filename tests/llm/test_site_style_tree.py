@@ -14,6 +14,14 @@ def test_blocks():
     assert got == [("a & b c d e", False), ("f", False), ("g", True), ("h < i", False), ("j", False), ("k", False)]
 
 
+def test_attributes_behind_long_ones_count():
+    long, words = "x" * 600, "alpha hidden beta " * 40
+    got = [(b.text, b.noise, b.scope) for b in blocks_of(f"<div data-a='{long}' class=advert>a</div><div style=\"{long}\" role='navigation'>b</div><div href={long} itemprop=articleBody>c</div><div data-config=\"{words}\">d</div><p>e")]
+    assert got == [("a", True, ""), ("b", True, ""), ("c", False, "article"), ("d", False, ""), ("e", False, "")]
+    inner = [(b.text, b.noise) for b in blocks_of(f"<body><div data-config='{words}'><p>f</p></div><div data-a={long} hidden>g</div>")]
+    assert inner == [("f", False), ("g", True)]
+
+
 def test_articles_without_what_surrounds_them(spark):
     page = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav>
     <div class="cookie-notice">We use cookies</div><article><header><h1>Head &eacute;</h1></header><p>First  para&shy;</p><div class="ad-slot"><p>Buy</p></div>

@@ -30,6 +30,8 @@ NOISE_WORDS = frozenset(
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Characters of a start tag's attributes below which its element is remembered.
+KEPT_SOURCE = 500
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -60,9 +62,12 @@ def _noisy_name(names: str) -> bool:
     return False
 
 
-@lru_cache(maxsize=20_000)
 def _element(tag: str, source: str, noisy: bool, within: str, plain: bool) -> _Element:
-    """A new element below one that is ``noisy``, in the scope ``within`` and ``plain``."""
+    """A new element below one that is ``noisy``, in the scope ``within`` and ``plain``; long sources aren't kept."""
+    return (_known_element if len(source) < KEPT_SOURCE else _new_element)(tag, source, noisy, within, plain)
+
+
+def _new_element(tag: str, source: str, noisy: bool, within: str, plain: bool) -> _Element:
     attrs = {}
     if source and not source.isspace():
         for m in _ATTR.finditer(source):
@@ -88,6 +93,9 @@ def _element(tag: str, source: str, noisy: bool, within: str, plain: bool) -> _E
     return _Element(tag, style, noise, scope, plain and (not names or tag in ("html", "body", "article", "main")))
 
 
+_known_element = lru_cache(maxsize=20_000)(_new_element)
+
+
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in order. Inline elements and ``br`` don't end a block; white space becomes one
     space; character references are decoded; unclosed and stray tags are borne as browsers do."""
@@ -188,7 +196,7 @@ def blocks_of(html: str) -> list[Block]:
             if tag == "hr":
                 continue
         over = stack[-1] if stack else None
-        stack.append(_element(tag, m[5] if len(m[5]) < 500 else m[5][:500], over.noise, over.scope, over.plain) if over else _element(tag, m[5][:500], False, "", True))
+        stack.append(_element(tag, m[5], over.noise, over.scope, over.plain) if over else _element(tag, m[5], False, "", True))
         links += tag == "a"
     flush()
     return out
