@@ -68,3 +68,26 @@ def test_edge_cases_and_redaction(spark):
     assert sorted(r.n_email for r in pii.personal_data(docs).collect()) == [0, 0, 1, 1]
     assert sorted(r.text for r in pii.redact(docs).collect()) == ["", "[email] x", "none", "🙂 [email], [phone]."]
     assert pii.personal_data(docs.limit(0)).count() == 0
+
+
+def test_pre_tests_let_through_what_their_patterns_match(spark):
+    samples = [
+        "bob (at) example (dot) com", "bob[@]example[.]com", "bob { at } example < dot > co < . > uk", "bob at example dot com", "x at y dot z dot w", "10[.]0[.]0[.]7", "10 dot 0 dot 0 dot 7", "10 (dot) 0(dot)0 ( . ) 7",
+        "4111.1111.1111.1111", "4111/1111/1111/1111", "4111_1111_1111_1111", "4111  1111  1111  1111", "3782 822463 10005", "378282246310005", "3482-822463-10005", "555-123-4567", "(555) 123-4567", "0049 30 1234 5678", "020.7946.0958",
+        "a@b.co", "1.2.3.4", "4111 1111 1111 1111", "+1 555 0100999",
+    ]
+    cases = sorted({f(s) for s in samples for f in (str, str.upper, str.title, str.swapcase, lambda s: s.replace("dot", "Dot"), lambda s: s.replace("at", "aT"))})
+    texts = spark.createDataFrame([(t,) for t in [*cases, *[f"é {t}, then" for t in cases]]], "t string").cache()
+    pairs = [(pattern, may) for (_, pattern), may in zip(pii.GENERATORS, pii._GENERATOR_MAY, strict=True)] + [(pii.BASE[k], pii._MAY[k]) for k in pii.KINDS]
+    for pattern, may in pairs:
+        found = texts.where(f"t RLIKE {pii._quoted(pattern)}")
+        assert found.count() > 1, pattern
+        assert found.where(f"NOT ({may.format(t='t')})").collect() == [], pattern
+
+
+def test_written_out_addresses_are_proposed_in_any_case(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("mail bob at example dot com now",), ("MAIL BOB AT EXAMPLE DOT COM NOW",), ("mail bob at example Dot com now",)]
+    got = spark.createDataFrame(rows, "t string").select(F.expr(pii._candidates("t")).alias("c")).collect()
+    assert [[(c.k, c.s, c.e) for c in r.c] for r in got] == [[(0, 5, 27)]] * 3

@@ -50,7 +50,7 @@ GENERATORS = [
     ("phone", r"(?<![0-9A-Za-z+.(_-])(?<![0-9] )(?:00[1-9][0-9]{0,2}[ .-])?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z_-])(?![ .][0-9])"),
 ]
 _GENERATOR_MAY = [
-    r"{t} RLIKE '(?i)[\\[({{<] ?(?:at|@) ?[\\])}}>]'", "instr({t}, ' dot ') > 0", r"{t} RLIKE '(?i)[0-9] ?(?:dot|[\\[({{<] ?(?:dot|\\.) ?[\\])}}>])'",
+    r"{t} RLIKE '(?i)[\\[({{<] ?(?:at|@) ?[\\])}}>]'", "{t} RLIKE '(?i) dot '", r"{t} RLIKE '(?i)[0-9] ?(?:dot|[\\[({{<] ?(?:dot|\\.) ?[\\])}}>])'",
     r"{t} RLIKE '[0-9]{{4}}(?:[./_]|  )[0-9]{{4}}'", "{t} RLIKE '3[47][0-9]{{2}}[ -]?[0-9]{{6}}'", r"{t} RLIKE '[0-9][ .-][0-9]{{3,4}}(?![0-9])'",
 ]
 _SPANS = "array<struct<s:int,e:int,m:string>>"
