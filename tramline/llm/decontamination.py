@@ -1,10 +1,10 @@
 """Benchmark decontamination: find short test items inside long documents.
 
-Containment search by size-partitioned MinHash. An item of n distinct shingles that a document holds to a
+Containment search by exact prefix filtering in hash order, in place of size-partitioned MinHash. An item of n distinct shingles that a document holds to a
 share of at least ``threshold`` can lack no more than ``n - ceil(threshold * n)`` of them, so of its
-``n - ceil(threshold * n) + 1`` smallest shingle hashes (its bottom-k MinHash sketch) at least one is in the
-document. The sketch's length thus follows from the item's size partition, and the candidate search loses
-nothing; candidates are then verified on the shingles themselves. Banding the sketches of whole documents,
+``n - ceil(threshold * n) + 1`` smallest shingle hashes (its bottom-k sketch) at least one is in the document.
+The sketch's length thus follows from the item's size, one inverted index serves all items, and the candidate
+search loses nothing; candidates are then verified on the shingles themselves. Banding the sketches of whole documents,
 as in the published ensembles, would lose short items in long documents, whose Jaccard similarity is near 0.
 """
 
