@@ -45,3 +45,23 @@ def test_edge_cases(spark):
     assert got[6] == got[7] == got[8] == got[9] == (3, 6) and got[10] == (0, 10) and got[11] == (0, 11)
     assert found(spark.createDataFrame([], SCHEMA)) == {}
     assert found(spark.createDataFrame([(1, None, "x", 1), (2, None, "x", 1)], SCHEMA)) == {1: (0, 1), 2: (0, 2)}
+
+
+def test_vectors_of_each_length_link_among_themselves(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for base, dim, n in ((0, 6, 400), (1000, 3, 120), (2000, 1, 7)):
+        points = rng.normal(size=(n, dim))
+        points[1::2] = points[::2][: n // 2] + rng.normal(scale=0.05, size=(n // 2, dim))
+        rows += [(base + i, v.tolist()) for i, v in enumerate(points)]
+    units = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    links, counts = Links(units), dict.fromkeys(units, 0)
+    for i, u in units.items():
+        for j, v in units.items():
+            if i != j and len(u) == len(v) and u @ v >= 0.95:
+                counts[i] += 1
+                links.join(i, j)
+    rows += [(10_000 + i, [0.0] * 8) for i in range(6000)] + [(20_000, [float("nan"), 1.0, 2.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=64, per_pivot=50).collect()}
+    assert got == {**{i: (counts[i], links.root(i)) for i in units}, **{i: (0, i) for i, _ in rows if i >= 10_000}}
+    assert all(any(counts[i] for i in counts if a <= i < a + 1000) for a in (0, 1000, 2000))

@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm.graph import connected_components
@@ -28,6 +29,11 @@ PER_PIVOT, MAX_PIVOTS, SAMPLE = 8_192, 1_024, 4_096
 _EPS = 1e-6
 
 
+def _usable() -> Column:
+    """Whether ``v`` is not null and not empty, its components are finite and one isn't zero."""
+    return F.expr("coalesce(size(v) > 0 AND forall(v, x -> x IS NOT NULL AND abs(x) < double('infinity')) AND exists(v, x -> x <> 0), false)")
+
+
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(row numbers of usable vectors, those as unit vectors in double precision)."""
     kept, rows = [], []
@@ -73,34 +79,42 @@ def cells_of(units: np.ndarray, pivots: np.ndarray, threshold: float) -> tuple[n
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK, per_pivot: int = PER_PIVOT, max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """Per row of ``vectors``: id (long), ``n_links`` (other rows at cosine >= ``threshold``) and ``component_id``.
 
-    Vectors that are null, zero, of another length than most of the sample, or with null or non-finite components
-    link with nothing. Ids are taken to be unique; of rows that repeat an id each one counts as a vector of its own,
-    links between rows of one id not counted, and ``n_links`` is the largest of the rows'. Rows with a null id link
-    with nothing. An empty table gives an empty table; other columns are not read.
+    Vectors that are null, zero or with null or non-finite components link with nothing; those of one length are
+    compared with each other only. Ids are taken to be unique; of rows that repeat an id each one counts as a vector
+    of its own, links between rows of one id not counted, and ``n_links`` is the largest of the rows'. Rows with a
+    null id link with nothing. An empty table gives an empty table; other columns are not read.
 
-    Plan: pivots come from a bounded sample and the cells' sizes (one row a cell) reach the driver; vectors are dealt
+    Plan: a length's pivots come from a bounded sample of its usable vectors (one of few vectors needs no sample, as
+    any one pivot will do), its cells have numbers of their own, and all lengths share the passes. The lengths and
+    the cells' sizes (one row a length, one a cell) reach the driver; vectors are dealt
     to blocks of about ``block`` home vectors. A block's home vectors come first in its sorted rows and the rest
     stream past them, so memory is bounded and a hot cell is many blocks. Partners are counted where they are
     found; edges only span what a block has linked, so a dense group of m vectors gives O(m) edges a block.
     """
     data = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
-    usable = data.where("id IS NOT NULL AND v IS NOT NULL")
-    sample = usable.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
-    dims = [len(v) for v in sample if v]
-    dim = max(sorted(set(dims)), key=dims.count, default=0)
-    count = usable.count()
-    pivots = choose_pivots(_matrix(pa.array(sample, pa.list_(pa.float64())), dim)[1], max(1, min(max_pivots, -(-count // per_pivot)))) if dim else np.empty((0, 0))
-    if not len(pivots):
+    usable = data.where(F.col("id").isNotNull() & _usable())
+    counts = {r.dim: r.n for r in usable.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    pivots, first, cells = {}, {}, 0
+    for dim, count in sorted(counts.items()):
+        wanted = max(1, min(max_pivots, -(-count // per_pivot)))
+        pivots[dim] = np.eye(1, dim)
+        if wanted > 1:
+            sample = usable.where(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v")
+            pivots[dim] = choose_pivots(_matrix(sample, dim)[1], wanted)
+        first[dim], cells = cells, cells + len(pivots[dim])
+    if not pivots:
         return data.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, units = _matrix(batch.column(1), dim)
-            if len(kept):
-                home, goes = cells_of(units, pivots, threshold)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, units.size + 1, dim), pa.int32()), pa.array(units.ravel()))
-                away = [np.flatnonzero(g).tolist() for g in goes]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), pa.array(home, pa.int32()), pa.array(away, pa.list_(pa.int32())), flat], ["id", "home", "cells", "unit"])
+            for dim in set(pc.list_value_length(batch.column(1)).to_pylist()):
+                part = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), dim))
+                kept, units = _matrix(part.column(1), dim)
+                if len(kept):
+                    home, goes = cells_of(units, pivots[dim], threshold)
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, units.size + 1, dim), pa.int32()), pa.array(units.ravel()))
+                    away = [(np.flatnonzero(g) + first[dim]).tolist() for g in goes]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept)), pa.array(home + first[dim], pa.int32()), pa.array(away, pa.list_(pa.int32())), flat], ["id", "home", "cells", "unit"])
 
     dealt = materialise(usable.mapInArrow(assign, "id long, home int, cells array<int>, unit array<double>"), "pivot-cells")
     sizes = {r.home: r.n for r in dealt.groupBy("home").agg(F.count("*").alias("n")).collect()}
@@ -125,35 +139,36 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         for batch in batches:
             key = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
             role, name = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            vectors = batch.column(4).flatten().to_numpy().reshape(-1, dim)
+            flat, ends = batch.column(4).flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(batch.column(4)).to_pylist()])
             cut = np.flatnonzero(np.diff(key) | np.diff(role)) + 1
             for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
+                vectors = flat[ends[s] : ends[e]].reshape(e - s, -1)  # of one cell, so of one length
                 if key[s] != now:
                     if counts is not None:
                         yield finish(home_ids, counts, parent)
                     now, ids, units, counts = key[s], [], [], None
                 if role[s] == 0:
                     ids.append(name[s:e])
-                    units.append(vectors[s:e])
+                    units.append(vectors)
                     continue
                 if counts is None:
                     home_ids, home_units = np.concatenate(ids), np.concatenate(units)
                     counts, parent = np.zeros(len(home_ids), np.int64), np.arange(len(home_ids))
                 for i in range(s, e, 1024):
                     j = min(e, i + 1024)
-                    near = vectors[i:j] @ home_units.T >= threshold
+                    near = vectors[i - s : j - s] @ home_units.T >= threshold
                     near &= name[i:j, None] != home_ids[None, :]
                     counts += near.sum(axis=0)
                     linked = np.flatnonzero(near.any(axis=1))
                     if len(linked):
-                        ends = []
+                        ties = []
                         for k in linked:
                             own = np.flatnonzero(near[k])
                             roots = np.unique(parent[own])
                             if len(roots) > 1:
                                 parent[np.isin(parent, roots)] = roots[0]
-                            ends.append(own[0])
-                        yield _out(np.empty(0, np.int64), np.empty(0, np.int64), name[i:j][linked], home_ids[ends])
+                            ties.append(own[0])
+                        yield _out(np.empty(0, np.int64), np.empty(0, np.int64), name[i:j][linked], home_ids[ties])
         if counts is not None:
             yield finish(home_ids, counts, parent)
 
