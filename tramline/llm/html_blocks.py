@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
 
+import xxhash
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page, up to their end tag.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea title xmp noembed noframes".split())
@@ -21,12 +23,23 @@ _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {
 
 NOISE_TAGS = frozenset("nav aside footer form button select option fieldset dialog menu head input label".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status tooltip".split())
+#: Words of class and id names that mark what is no content in any name.
 NOISE_WORDS = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar banner footer foot sidebar sidenav aside rail widget widgets ad ads advert adverts "
-    "advertisement advertising adsense adbox adslot sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices notification notifications alert alerts popup popover modal "
-    "overlay newsletter subscribe subscription signup signin login register paywall share sharing social related recommended recommendations recirc outbrain taboola "
-    "comment comments commentlist discussion disqus respond reply replies search searchbox pagination pager toolbar copyright colophon skip hidden".split()
+    "navbar navigation menubar breadcrumb breadcrumbs masthead sidebar sidenav advert adverts advertisement advertising adsense adbox adslot sponsored cookie cookies gdpr "
+    "popup popover newsletter paywall recommended recommendations recirc outbrain taboola commentlist disqus pagination pager copyright colophon".split()
+)
+#: Words that do so only where a name holds nothing but them and words of layout.
+NOISE_IF_ALONE = frozenset(
+    "nav menu topbar banner footer foot aside rail widget widgets ad ads sponsor promo promotion promoted consent notice notices notification notifications alert alerts modal "
+    "overlay subscribe subscription signup signin login register share sharing social related comment comments discussion respond reply replies search searchbox toolbar skip hidden".split()
+)
+LAYOUT_WORDS = frozenset(
+    "box block list container wrap wrapper bar slot top left right bottom side main site page section area inner outer unit module item panel row col column group content body "
+    "text title link links button buttons icon icons global primary secondary sticky fixed floating mobile desktop user reader wide small large post posts article articles entry story stories "
+    "author date meta time name form count thread more also header".split()
 )
+#: Words beside which "header" is that of a site, not of an article.
+HEADER_WORDS = frozenset("header site page global main top bar wrap wrapper container inner sticky fixed primary mobile desktop".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -35,33 +48,73 @@ KEPT_SOURCE = 500
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+#: Levels of a page's tree that style nodes are told apart by; below, a node hangs on the last of them.
+LEVELS = 24
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    path: str  # tags and classes from the body down
+    nodes: tuple[int, ...]  # style nodes (tags and classes from the body down) that may be judged, outermost first
     noise: bool  # below an element whose tag, role or name marks it as no content
     scope: str  # "article", "main" or ""
-    plain: bool  # no element below the scope has a class or id
     linked: int  # characters inside links
 
 
+@dataclass(slots=True)
+class Node:
+    """An element as the style tree counts it: its style node, how it is made up, how many blocks are right below."""
+
+    node: int
+    makeup: int
+    kids: int
+
+
 @dataclass(slots=True)
 class _Element:
     tag: str
     style: str
     noise: bool
     scope: str
-    plain: bool
+    plain: bool  # neither it nor an element between it and the scope has a class or id
+    block: bool
+
+
+class _Open:
+    """An element on the stack; ``home`` is the block that its text belongs to, itself or one above."""
+
+    __slots__ = ("element", "node", "over", "home", "judged", "made", "kids", "chars")
+
+    def __init__(self, element: _Element, over: _Open | None = None):
+        self.element, self.over = element, over and over.home
+        self.home = self if element.block or over is None else over.home
+        self.made = self.kids = self.chars = self.node = 0
+        self.judged: tuple[int, ...] = over.judged if over and over.element.scope == element.scope else ()
+        if element.block and over:
+            self.node = _child(over.home.node, element.style)
+            # in an article only what has names of its own is judged; elsewhere every level is
+            if (not element.plain or not element.scope) and len(self.judged) < LEVELS:
+                self.judged = (*self.judged, self.node)
 
 
 def _noisy_name(names: str) -> bool:
     for name in names.split():
-        words = [w.lower() for w in _WORD.findall(name)]
-        if words and words[0] not in ("has", "no", "with", "without", "is") and any(w in NOISE_WORDS for w in words):
+        words = {w.lower() for w in _WORD.findall(name) if not w.isdigit()}
+        if not words or _WORD.findall(name)[0].lower() in ("has", "no", "with", "without", "is"):
+            continue
+        if words & NOISE_WORDS or "header" in words and words <= HEADER_WORDS:
+            return True
+        if words & NOISE_IF_ALONE and words <= NOISE_IF_ALONE | LAYOUT_WORDS:
             return True
     return False
 
 
+@lru_cache(maxsize=100_000)
+def _child(node: int, style: str) -> int:
+    """The style node below ``node`` of elements of a style, as a 63-bit number."""
+    return xxhash.xxh64_intdigest(f"{node}>{style}") >> 1
+
+
 def _element(tag: str, source: str, noisy: bool, within: str, plain: bool) -> _Element:
     """A new element below one that is ``noisy``, in the scope ``within`` and ``plain``; long sources aren't kept."""
     return (_known_element if len(source) < KEPT_SOURCE else _new_element)(tag, source, noisy, within, plain)
@@ -90,20 +143,22 @@ def _new_element(tag: str, source: str, noisy: bool, within: str, plain: bool) -
     )
     style = tag + "".join(f".{c}" for c in sorted(set(attrs.get("class", "").split())))
     plain = plain if within == scope else True
-    return _Element(tag, style, noise, scope, plain and (not names or tag in ("html", "body", "article", "main")))
+    return _Element(tag, style, noise, scope, plain and (not names or tag in ("html", "body", "article", "main")), tag in BLOCK and tag not in ("html", "body"))
 
 
 _known_element = lru_cache(maxsize=20_000)(_new_element)
 
 
-def blocks_of(html: str) -> list[Block]:
-    """The text blocks of a page in order. Inline elements and ``br`` don't end a block; white space becomes one
-    space; character references are decoded; unclosed and stray tags are borne as browsers do."""
+def parsed(html: str) -> tuple[list[Block], list[Node]]:
+    """The text blocks of a page in order, and its elements. Inline elements and ``br`` don't end a block; white space
+    becomes one space; character references are decoded; unclosed and stray tags are borne as browsers do."""
     out: list[Block] = []
-    stack: list[_Element] = []
+    nodes: list[Node] = []
+    stack: list[_Open] = []
     buffer: list[str] = []
     linked = 0
     links = 0
+    root = _Open(_element("body", "", False, "", True))
 
     def flush() -> None:
         nonlocal linked
@@ -111,11 +166,18 @@ def blocks_of(html: str) -> list[Block]:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                top = stack[-1] if stack else None
-                blocks = [e.style for e in stack if e.tag in BLOCK and e.tag not in ("html", "body")]
-                out.append(Block(text, ">".join(blocks), bool(top and top.noise), top.scope if top else "", top.plain if top else True, linked))
+                top = stack[-1] if stack else root
+                top.home.chars += len(text)
+                out.append(Block(text, top.judged, top.element.noise, top.element.scope, linked))
         linked = 0
 
+    def close(entry: _Open) -> None:
+        nodes.append(Node(entry.node, _child(entry.made, str(entry.chars.bit_length())), entry.kids))
+        if over := entry.over:
+            over.chars += entry.chars
+            over.kids += 1
+            over.made = _child(over.made, entry.element.style)
+
     def add(text: str) -> None:
         nonlocal linked
         if text:
@@ -126,10 +188,13 @@ def blocks_of(html: str) -> list[Block]:
 
     def pop_to(at: int) -> None:
         nonlocal links
-        if any(e.tag in BLOCK for e in stack[at:]):
+        if any(e.element.tag in BLOCK for e in stack[at:]):
             flush()
-        links -= sum(e.tag == "a" for e in stack[at:])
-        del stack[at:]
+        while len(stack) > at:
+            entry = stack.pop()
+            links -= entry.element.tag == "a"
+            if entry.element.block:
+                close(entry)
 
     pos, n, lower = 0, len(html), None
     while pos < n:
@@ -154,13 +219,13 @@ def blocks_of(html: str) -> list[Block]:
             continue
         pos, tag = m.end(), m[4].lower()
         if m[3]:
-            if tag == "p" and not any(e.tag == "p" for e in stack):
+            if tag == "p" and not any(e.element.tag == "p" for e in stack):
                 flush()
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
+                if stack[i].element.tag == tag:
                     pop_to(i)
                     break
-                if stack[i].tag in ("table", "article", "main", "body") and tag not in ("article", "main", "body", "html", "table", "div", "section"):
+                if stack[i].element.tag in ("table", "article", "main", "body") and tag not in ("article", "main", "body", "html", "table", "div", "section"):
                     break
             continue
         if tag in RAW:
@@ -180,23 +245,30 @@ def blocks_of(html: str) -> list[Block]:
             flush()
             if tag in _CLOSES_P:
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag == "p":
+                    if stack[i].element.tag == "p":
                         pop_to(i)
                         break
-                    if stack[i].tag in ("td", "th", "table", "article", "div", "li", "button"):
+                    if stack[i].element.tag in ("td", "th", "table", "article", "div", "li", "button"):
                         break
             if tag in _SIBLINGS:
                 own, bound = _SIBLINGS[tag]
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag in bound:
+                    if stack[i].element.tag in bound:
                         break
-                    if stack[i].tag in own:
+                    if stack[i].element.tag in own:
                         pop_to(i)
                         break
             if tag == "hr":
                 continue
-        over = stack[-1] if stack else None
-        stack.append(_element(tag, m[5], over.noise, over.scope, over.plain) if over else _element(tag, m[5], False, "", True))
+        over = stack[-1] if stack else root
+        above = over.element
+        stack.append(_Open(_element(tag, m[5], above.noise, above.scope, above.plain), over))
         links += tag == "a"
+    pop_to(0)
     flush()
-    return out
+    close(root)
+    return out, nodes
+
+
+def blocks_of(html: str) -> list[Block]:
+    return parsed(html)[0]
