@@ -38,6 +38,19 @@ def test_dense_groups_over_small_blocks(spark):
     assert found(spark.createDataFrame(rows, SCHEMA), block=9, per_pivot=10) == brute([r[:2] for r in rows])
 
 
+def test_many_equal_vectors_count_without_being_compared(spark):
+    rng = np.random.default_rng(3)
+    same, other = rng.normal(size=6), rng.normal(size=6)
+    near = [same + rng.normal(scale=0.05, size=6) for _ in range(20)]
+    rows = [(i, same.tolist(), None, 0) for i in range(10_000)] + [(20_000 + i, v.tolist(), None, 0) for i, v in enumerate(near)] + [(30_000, other.tolist(), None, 0), (30_001, [1.0, 2.0], None, 0), (30_002, [2.0, 4.1], None, 0)]
+    few = brute([r[:2] for r in rows if r[0] >= 20_000 or r[0] == 0])
+    got = found(spark.createDataFrame(rows, SCHEMA), block=8, per_pivot=6)
+    assert got[0] == (few[0][0] + 9_999, 0) and all(got[i] == got[0] for i in range(10_000))
+    close = {i: bool(same @ v / np.linalg.norm(same) / np.linalg.norm(v) >= 0.95) for i, v in enumerate(near)}
+    assert any(close.values()) and all(got[20_000 + i] == (few[20_000 + i][0] + 9_999 * c, few[20_000 + i][1]) for i, c in close.items())
+    assert got[30_000] == few[30_000] and got[30_001] == got[30_002] == (1, 30_001)
+
+
 def test_edge_cases(spark):
     vectors = [None, [], [0.0, 0.0], [1.0, None], [1.0, math.nan], [math.inf, 1.0], [1.0, 0.0], [2.0, 0.0], [1e300, 1e200], [1e-320, 0.0], [-1.0, 0.0], [1.0, 2.0, 3.0]]
     got = found(spark.createDataFrame([(i, v, "x", 1) for i, v in enumerate(vectors)], SCHEMA))
