@@ -1,3 +1,5 @@
+import random
+
 from llm.conftest import ODD_TEXTS, with_clashes
 from oracle import differing
 
@@ -31,6 +33,36 @@ def test_threshold_is_met_exactly(spark):
     assert found(spark, docs, [(1, item)]) == [(1, 1, 5, 4)]
 
 
+def brute(docs, items, threshold=0.8):
+    def cut(t):
+        w = t.split()
+        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    return sorted((d, i, len(b), len(a & b)) for d, x in docs for i, y in items for a, b in [(cut(x), cut(y))] if b and len(a & b) >= threshold * len(b) - 1e-9)
+
+
+def test_items_of_all_sizes_with_stock_phrases_are_those_of_brute_force(spark):
+    rng = random.Random(5)
+    stock = "all answers must be given in full sentences on the sheet"
+    word = lambda: f"w{rng.randrange(400)}"
+    items = [(i, " ".join([stock] * (i % 3) + [word() for _ in range(rng.choice([3, 5, 6, 9, 17, 40, 90, 200]))])) for i in range(60)]
+    docs = []
+    for d in range(120):
+        words = [word() for _ in range(rng.randrange(300))] + stock.split()
+        for _ in range(rng.randrange(3)):
+            own = rng.choice(items)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 5])):
+                own[rng.randrange(len(own))] = "changed"
+            words += own
+        docs.append((d, " ".join(words)))
+    want = brute(docs, items)
+    assert found(spark, docs, items) == want and len(want) > 60
+    full = spark.createDataFrame([(i, s, hash(s) >> 2) for i, t in items for s in {" ".join(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}], "item long, s string, h long")
+    kept = dc.sketches(full, 0.8)
+    assert kept.groupBy("h").count().agg({"count": "max"}).first()[0] < 20  # of 40 items with the stock phrase
+    assert {r.part for r in kept.collect()} >= {0, 2, 3, 5, 6, 7}
+
+
 def test_edge_cases(spark):
     docs = [(i, t) for i, t in enumerate(ODD_TEXTS)] + [(None, ITEM), (50, ITEM), (50, ITEM)]
     items = [(1, ITEM), (2, ITEM), (3, None), (4, ""), (5, "too short"), (None, ITEM), (6, "a b c d e a b c d e")]
@@ -42,5 +74,5 @@ def test_edge_cases(spark):
 
 
 def test_a_large_index_is_joined_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(dc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", -1)
     assert found(spark, [(1, ITEM)], [(1, ITEM)])[0][:2] == (1, 1)

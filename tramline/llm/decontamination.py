@@ -1,11 +1,12 @@
 """Benchmark decontamination: find short test items inside long documents.
 
-Containment search by exact prefix filtering in hash order, in place of size-partitioned MinHash. An item of n distinct shingles that a document holds to a
-share of at least ``threshold`` can lack no more than ``n - ceil(threshold * n)`` of them, so of its
-``n - ceil(threshold * n) + 1`` smallest shingle hashes (its bottom-k sketch) at least one is in the document.
-The sketch's length thus follows from the item's size, one inverted index serves all items, and the candidate
-search loses nothing; candidates are then verified on the shingles themselves. Banding the sketches of whole documents,
-as in the published ensembles, would lose short items in long documents, whose Jaccard similarity is near 0.
+Size-partitioned MinHash containment search. Items fall into partitions by the order of their number of distinct
+shingles; each partition has its own sketch length. An item's sketch is its k least shingle hashes (bottom-k MinHash),
+those that few items have going first, so that stock phrases are no keys. A document that holds at least ``threshold`` of
+an item's n shingles lacks at most ``n - ceil(threshold * n)`` of them, so it has all but that many of the sketch's hashes;
+k is the largest such number of the partition and ``SPARE`` more. Candidates with too few hits fall; the rest is verified
+on the shingles themselves. Documents give all their hashes, not a sketch: one of a long document would lose short
+items, whose Jaccard similarity with it is near 0. So the search loses nothing.
 """
 
 from __future__ import annotations
@@ -17,8 +18,18 @@ from tramline.llm.shared import materialise, read_table
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Sketch rows up to which the index is broadcast (16 bytes each); larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Hashes of a sketch beyond those that must be there for one of them to be in any document that holds the item.
+SPARE = 2
+#: Size up to which a table about the items is broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table`` with a broadcast hint if its own rows are found to fit in ``BROADCAST_BYTES`` (strings by their length,
+    16 bytes more for each column)."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(0) for c, t in table.dtypes), F.lit(0))
+    found = table.agg(F.sum(size).alias("s"), F.count("*").alias("n")).first()
+    return F.broadcast(table) if (found.s or 0) + 16 * len(table.columns) * found.n <= BROADCAST_BYTES else table
 
 
 def words_of(text: Column) -> Column:
@@ -46,9 +57,10 @@ def contained_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
     with null ids are not matched; repeated ids count as one text each with all its rows' shingles; other columns
     are not read. No partner is capped.
 
-    Plan: items are few against documents; their sketches are broadcast only where counted to be at most
-    ``BROADCAST_ROWS``, otherwise joined by hash. Only sketch hits leave the map side; only documents with a
-    hit are shingled again to verify.
+    Plan: items are few against documents; tables about them are broadcast only where their own size is found to be
+    small, otherwise joined by hash. Only sketch hits leave the map side; only documents with candidates are shingled
+    again, and of their shingles only those of some item are shuffled, to be met by (document, shingle), so a phrase that
+    many items and many documents share makes no product of them.
     """
     item_words = words_of(F.col(f"`{text_col}`"))
     full = (
@@ -58,25 +70,32 @@ def contained_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
         .distinct()
     )
     full = materialise(full.select("item", "s", F.xxhash64(F.split("s", " ")).alias("h")), "item-shingles")
-    sizes = full.groupBy("item").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("h")).alias("hs"))
-    k = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-    sketch = materialise(sizes.select("item", "n", F.explode(F.slice("hs", 1, k.cast("int"))).alias("h")), "sketches")
-    small = sketch.count() <= BROADCAST_ROWS
+    sketch = materialise(sketches(full, threshold), "sketches")
 
     texts = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("doc"), words_of(F.col(f"`{text_col}`")).alias("w"))
     probes = texts.select("doc", F.explode(shingle_hashes(F.col("w"), words)).alias("h"))
-    index = sketch.select("h", "item", "n")
-    hits = probes.join(F.broadcast(index) if small else index, "h").select("doc", "item", "n").distinct()
-    hits = materialise(hits, "candidates")
-    suspects = texts.join(hits.select("doc").distinct(), "doc", "left_semi").select("doc", F.explode(shingles(F.col("w"), words)).alias("s")).distinct()
-    found = suspects.join(F.broadcast(full) if small else full, "s").groupBy("doc", "item").agg(F.count("*").alias("n_shared"))
-    return (
-        found.join(hits, ["doc", "item"])
-        .where(F.col("n_shared") >= F.col("n") * F.lit(threshold) - 1e-9)
-        .select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("n").alias("n_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))
+    hits = probes.join(small(sketch.select("h", "item", "n", "least")), "h").groupBy("doc", "item", "n", "least").agg(F.count_distinct("h").alias("hits"))
+    hits = materialise(hits.where("hits >= least").select("doc", "item", "n"), "candidates")
+    suspects = texts.join(hits.select("doc").distinct(), "doc", "left_semi").select("doc", F.explode(shingles(F.col("w"), words)).alias("s"))
+    held = suspects.join(small(full.select("s").distinct()), "s", "left_semi").distinct()
+    wanted = hits.join(small(full.select("item", "s")), "item")
+    found = held.join(wanted, ["doc", "s"]).groupBy("doc", "item", "n").agg(F.count("*").alias("n_shared"))
+    return found.where(F.col("n_shared") >= F.col("n") * F.lit(threshold) - 1e-9).select(
+        F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("n").alias("n_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment")
     )
 
 
+def sketches(full: DataFrame, threshold: float) -> DataFrame:
+    """``part``, ``item``, ``n`` (its shingles), ``h`` of each hash of its sketch, and ``least``: how many of those a
+    document that holds the item has. ``full``: item, s, h of the items' distinct shingles."""
+    shared = full.join(full.groupBy("h").agg(F.count("*").alias("items")), "h")
+    sizes = shared.groupBy("item").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.struct("items", "h"))).alias("hs"))
+    lacking = lambda n: n - F.ceil(n * F.lit(threshold) - 1e-9)
+    part = F.floor(F.log2("n")).cast("int")
+    own = sizes.withColumn("part", part).withColumn("k", F.least(F.size("hs"), lacking(F.pow(F.lit(2), F.col("part") + 1) - 1) + 1 + SPARE).cast("int"))
+    return own.select("part", "item", "n", F.greatest(F.lit(1), F.col("k") - lacking(F.col("n"))).cast("int").alias("least"), F.explode(F.slice("hs", 1, F.col("k"))).alias("x")).select("part", "item", "n", "least", "x.h")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", **options) -> DataFrame:
     """``docs`` without those that hold an item; rows with null ids stay."""
     bad = contained_items(docs, items, doc_id=doc_id, item_id=item_id, **options).select(F.col(doc_id).alias("__dc_id")).distinct()
