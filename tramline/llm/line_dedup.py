@@ -14,6 +14,8 @@ from tramline.llm.shared import ascii_lower, materialise, read_table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+#: Bits of the bitmap that tells which ids may lose lines.
+BITS = 1 << 26
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -21,6 +23,10 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(_BLANKS)))
 
 
+def _bit(ident: Column) -> Column:
+    return F.pmod(F.xxhash64(ident), F.lit(BITS))
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with ``text_col`` rid of shared lines, and ``n_lines`` and ``n_dropped`` (long) added.
 
@@ -33,8 +39,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Plan: one pass over the texts writes (id, position, hash) of the long lines; counting shuffles partial
     sums only; the table of shared hashes is written, so that its join with the lines is a broadcast where
-    it is small and otherwise a sort-merge join that adaptive execution can split at a hot line; the texts
-    are joined once with their dropped positions by id.
+    it is small and otherwise a sort-merge join that adaptive execution can split at a hot line. Only texts of ids
+    that may lose lines are shuffled to meet their dropped positions; the others, told by a bitmap of id hashes of a
+    fixed size (``BITS``, so 8 MB at most are broadcast), pass on the map side.
     """
     ident, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     row = F.xxhash64(text)
@@ -50,9 +57,17 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     shared = lines.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("holder")).where(F.col("n") >= min_docs)
     shared = materialise(shared.drop("n"), "shared-lines")
     dropped = lines.join(shared, ["h1", "h2"]).where(F.col("id") != F.col("holder")).groupBy("id", "row").agg(F.collect_set("pos").alias("drop"))
-    dropped = dropped.select(F.col("id").alias("__ld_id"), F.col("row").alias("__ld_row"), F.col("drop").alias("__ld_drop"))
-
-    joined = docs.join(dropped, (ident == F.col("__ld_id")) & (row == F.col("__ld_row")), "left")
+    dropped = materialise(dropped.select(F.col("id").alias("__ld_id"), F.col("row").alias("__ld_row"), F.col("drop").alias("__ld_drop")), "dropped-lines")
+
+    marks = dropped.select(_bit(F.col("__ld_id")).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("__ld_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("__ld_bits"))
+    place = F.bitmap_bit_position(_bit(ident))
+    byte = F.conv(F.hex(F.substr("__ld_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.expr("shiftright(__ld_byte, __ld_place) & 1") == 1, F.lit(False))
+    marked = docs.join(F.broadcast(marks), F.bitmap_bucket_number(_bit(ident)) == F.col("__ld_bucket"), "left")
+    marked = marked.withColumns({"__ld_byte": byte, "__ld_place": F.pmod(place, F.lit(8)).cast("int")})
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    hit = marked.where(may).select(*own).join(dropped, (ident == F.col("__ld_id")) & (row == F.col("__ld_row")), "left").select(*own, "__ld_drop")
+    joined = hit.unionByName(marked.where(~may).select(*own, F.lit(None).cast("array<int>").alias("__ld_drop")))
     parts = F.split(text, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__ld_drop"))
     kept = F.when(F.col("__ld_drop").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
