@@ -23,13 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tramline.llm.part_table import PartTable, slices
 from tramline.llm.shared import fresh_path, read_table
 
 MAGIC = b"TRLTOK01"
-#: Characters of text that a shard is planned for.
-SHARD_CHARS = 8_000_000
-#: Parts that a worker remembers at most between batches.
-MEMO_ENTRIES = 600_000
+#: Characters of text that a shard is planned for, and shards at most; beyond them shards grow with the input.
+SHARD_CHARS, MAX_SHARDS = 8_000_000, 10_000
 _SAMPLE = 256
 _FOOTER = struct.Struct("<8sBQQQqQQQ")  # magic, id width, documents, nulls, ids, least id, lengths of the three sections
 
@@ -168,12 +167,14 @@ def _byte_letters() -> dict[int, str]:
 
 
 class ChunkEncoder:
-    """The tokenizers library's byte-level BPE over whole texts, with each distinct piece encoded once.
-
-    Byte-level pre-tokenising starts a piece at every space before a non-space, and merges stay within a piece, so a
-    text's ids are those of its pieces, which the library's model encodes; parts between spaces are remembered too.
-    Texts that hold an added token of the file go through the library whole; as in the library, special ones count
-    as plain text under ``encode_special_tokens``. ``tests/llm`` holds the result against the library on whole texts.
+    """The tokenizers library's byte-level BPE over whole texts, with each distinct part encoded once.
+
+    Byte-level pre-tokenising starts a piece at every space before a non-space, and merges stay within a piece. Where no
+    two blanks meet, a line end is a piece of its own. So such a text is cut before its spaces and line ends, over the
+    whole batch's bytes at once; the parts' ids come from a table, and what it lacks from the library's model, piece by
+    piece. Other texts, and those that hold an added token of the file, go through the library whole; as in the library,
+    special tokens count as plain text under ``encode_special_tokens``. ``tests/llm`` holds the result against the
+    library on whole texts.
     """
 
     def __init__(self, path: str, end_id: int, encode_special_tokens: bool = False):
@@ -190,47 +191,48 @@ class ChunkEncoder:
         self.end = array(self.kind, [end_id]).tobytes()
         self.letters = _byte_letters()
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.border, self.odd = regex.compile(r" (?=\S)"), regex.compile(r"\s\s|\s\Z")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-
-    def _part(self, text: str) -> bytes:
-        known, found = self.known, []
-        for piece in self.pieces(text):
-            ids = known.get(piece)
-            if ids is None:
-                tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-                ids = known[piece] = array(self.kind, [t.id for t in tokens]).tobytes()
-            found.append(ids)
-        return b"".join(found)
-
-    def _learn(self, memo: dict[str, bytes], parts: set[str], lead: str) -> None:
-        """Encode the parts that ``memo`` lacks; beyond its bound only what these texts need stays in it."""
-        new = parts.difference(memo)
-        if len(memo) + len(new) > MEMO_ENTRIES:
-            for key in memo.keys() - parts:
-                del memo[key]
-        if len(self.known) > MEMO_ENTRIES:
-            self.known.clear()
-        memo.update((x, self._part(x if x[:1] == "\n" else lead + x)) for x in new)
+        self.odd = regex.compile(r"\s\s|\s\Z").search
+        self.table = PartTable(f"<u{self.width}", self.end, self._ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = {i: array(self.kind, self.library.encode(t, add_special_tokens=False).ids).tobytes() + self.end for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        if whole:
-            rest = iter(self._encode([t for i, t in enumerate(texts) if i not in whole]))
-            return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
-        return self._encode(texts)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        # where no two blanks meet, a line end is a piece of its own and may start a part in a space's place
-        cut = [self.border.split(t) if self.odd.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        self._learn(self.first, {own[0] for own in cut}, "")
-        self._learn(self.later, set().union(*(own[1:] for own in cut)), " ")
-        first, later = self.first, self.later
-        return [b"".join([first[own[0]], *map(later.__getitem__, own[1:]), self.end]) for own in cut]
+        return self.encode_array(pa.array(texts, pa.string())).to_pylist()
+
+    def encode_array(self, column: pa.StringArray) -> pa.BinaryArray:
+        """Packed ids of each text (null: empty) and the end id."""
+        texts = column.to_pylist()
+        whole = {i for i, t in enumerate(texts) if t and (self.odd(t) or any(a in t for a in self.added))}
+        even = column.filter(pa.array([i not in whole for i in range(len(texts))])) if whole else column
+        data, borders = self.table.texts(even)
+        packed = pa.BinaryArray.from_buffers(pa.binary(), len(even), [None, pa.py_buffer((borders * self.width).astype(np.int32)), pa.py_buffer(data)])
+        if not whole:
+            return packed
+        rest = iter(packed.to_pylist())
+        return pa.array([array(self.kind, self.library.encode(t, add_special_tokens=False).ids).tobytes() + self.end if i in whole else next(rest) for i, t in enumerate(texts)], pa.binary())
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        """Packed ids of each part. Those that start at a space or line end fall into the same pieces side by side."""
+        out: list[list[str]] = []
+        led = [x[0] in b" \n" for x in parts]
+        for piece in self.pieces(b"".join([x for x, y in zip(parts, led, strict=True) if y]).decode()):
+            if piece[0] in " \n":
+                out.append([])
+            out[-1].append(piece)
+        cut = iter(out)
+        pieces = [next(cut) if y else self.pieces(x.decode()) for x, y in zip(parts, led, strict=True)]
+        kind, letters, tokenize = self.kind, self.letters, self.model.tokenize
+        known = {x: array(kind, [t.id for t in tokenize(x.encode().decode("latin-1").translate(letters))]).tobytes() for x in set().union(*pieces)}
+        return [known[own[0]] if len(own) == 1 else b"".join([known[x] for x in own]) for own in pieces]
+
+
+_LOADED: dict[tuple, ChunkEncoder] = {}
+
+
+def loaded(*settings) -> ChunkEncoder:
+    """The worker's encoder, with what it remembers from task to task; one setting at a time."""
+    if settings not in _LOADED:
+        _LOADED.clear()
+        _LOADED[settings] = ChunkEncoder(*settings)
+    return _LOADED[settings]
 
 
 def write_shards(docs: DataFrame, tokenizer: str, out: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_chars: int = SHARD_CHARS, encode_special_tokens: bool = True) -> list[dict]:
@@ -244,24 +246,22 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str, *, id_col: str = "do
     table gives no shards.
 
     Plan: shard borders are quantiles of the id column, so that ids are dealt out once, already encoded and packed;
-    a writer streams its sorted rows to a file, keeping 16 bytes a document, and renames it when whole, so a lost
-    executor leaves nothing that counts. Only a row for each shard reaches the driver.
+    a writer streams its sorted rows to a file, keeping two numbers a document, and renames it when whole, so a lost
+    executor leaves nothing that counts. Only a border and a row for each shard reach the driver, ``MAX_SHARDS`` at most.
     """
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     chars = docs.agg(F.sum(F.char_length(text))).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
+    shards = min(MAX_SHARDS, max(1, -(-chars // shard_chars)))
     cuts = docs.agg(F.percentile_approx(ident, [i / shards for i in range(1, shards)], 100_000)).first()[0] if shards > 1 else []
     cuts = sorted(set(cuts or []))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, borders = ChunkEncoder(tokenizer, end_id, encode_special_tokens), np.array(cuts, np.int64)
+        encoder, borders = loaded(tokenizer, end_id, encode_special_tokens), np.array(cuts, np.int64)
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
-                ids = [x or "" for x in batch.column(1).to_pylist()]
+            for batch in slices(whole, 1):
                 names = batch.column(0).cast(pa.int64())
                 shard = np.where(np.array(names.is_null()), 0, np.searchsorted(borders, np.array(names.fill_null(0)), side="right"))
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), names, pa.array(encoder.encode(ids), pa.binary()), pa.array([encoder.width] * batch.num_rows, pa.int32())], ["shard", "id", "ids", "width"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), names, encoder.encode_array(batch.column(1).cast(pa.string())), pa.array([encoder.width] * batch.num_rows, pa.int32())], ["shard", "id", "ids", "width"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, at, done = None, None, []
@@ -277,7 +277,7 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str, *, id_col: str = "do
         yield pa.RecordBatch.from_pylist([{"shard": s, "n_docs": d, "n_ids": t} for s, d, t in done], pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     packed = docs.select(ident.cast("long").alias("id"), text.alias("text")).mapInArrow(encode, "shard int, id long, ids binary, width int")
-    dealt = packed.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "id", "ids")
+    dealt = packed.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "id", "ids")
     rows = sorted(dealt.mapInArrow(write, "shard int, n_docs long, n_ids long").collect())
     manifest, before = [], 0
     for shard, n_docs, n_ids in rows:
