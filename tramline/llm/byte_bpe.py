@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -19,10 +20,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from tramline.llm.part_table import PartTable, gathered, slices
 from tramline.llm.shared import read_table
 
 #: Entries that a worker keeps of each memo before it starts anew; bounds memory, not results.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 
 
 class ByteBPE:
@@ -51,6 +53,11 @@ class ByteBPE:
         self._pieces: dict[str, bytes] = {}
         self._border = regex.compile(r" (?=\S)")
         self._odd = regex.compile(r" (?!\S)")
+        self._blanks = regex.compile(r"\s\s|\s\Z").search
+        self._table = PartTable("<u4", b"", lambda parts: [self._chunk(x.decode()) for x in parts])
+        size = max(self.tokens, default=-1) + 1
+        self._spelt = _arena([self.tokens.get(i, b"") for i in range(size)])
+        self._decimal = _arena([b"%d," % i for i in range(size)])
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -159,10 +166,40 @@ class ByteBPE:
             ids = b"".join(found)
         return np.frombuffer(ids, "<u4")
 
+    def encode_batch(self, column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, borders of the texts among them: one more than texts); nulls are empty.
+
+        Where no two blanks meet, every space and line end starts a part whose ids don't depend on what is around it;
+        other texts are encoded one by one."""
+        texts = column.to_pylist()
+        odd = {i for i, t in enumerate(texts) if t and self._blanks(t)}
+        ids, borders = self._table.texts(column.filter(pa.array([i not in odd for i in range(len(texts))])) if odd else column)
+        if not odd:
+            return ids, borders
+        even = iter(range(len(borders) - 1))
+        own = [self.encode(t) if i in odd else ids[borders[k := next(even)] : borders[k + 1]] for i, t in enumerate(texts)]
+        return np.concatenate([np.empty(0, "<u4"), *own]), np.cumsum([0, *map(len, own)])
+
+    def spelt(self, ids: np.ndarray, borders: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """(bytes that all ids decode to, borders of the texts among them)."""
+        return _borders(*gathered(*self._spelt, ids.astype(np.int64)), borders)
+
+    def decimal(self, ids: np.ndarray, borders: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """(all ids in decimal with a comma after each, borders of the texts among them)."""
+        return _borders(*gathered(*self._decimal, ids.astype(np.int64)), borders)
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+def _arena(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+
+
+def _borders(data: np.ndarray, ends: np.ndarray, borders: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    return memoryview(data), np.append(0, ends)[borders]
+
+
 _LOADED: dict[tuple[str, str], ByteBPE] = {}
 
 
@@ -186,23 +223,16 @@ def encoded(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
-        decimal = {i: str(i) for i in bpe.tokens}
-        for batch in batches:
-            counts, lists, encoded_hash, decoded_hash = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                packed = bpe.encode(text or "")
-                ids = packed.tolist()
-                counts.append(len(ids))
+        for whole in batches:
+            for batch in slices(whole, 1):
+                ids, borders = bpe.encode_batch(batch.column(1).cast(pa.string()))
+                (bytes_, at), (digits, to) = bpe.spelt(ids, borders), bpe.decimal(ids, borders)
+                columns = [batch.column(0), pa.array(np.diff(borders), pa.int64())]
                 if with_ids:
-                    lists.append(packed.astype(np.int32))
-                encoded_hash.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                decoded_hash.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            columns = [batch.column(0), pa.array(counts, pa.int64())]
-            if with_ids:
-                ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *lists]))))
-            columns += [pa.array(encoded_hash, pa.string()), pa.array(decoded_hash, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"])
+                    columns.append(pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(ids.astype(np.int32))))
+                columns.append(pa.array([hashlib.sha256(digits[s : max(s, e - 1)]).hexdigest() for s, e in pairwise(to.tolist())], pa.string()))
+                columns.append(pa.array([hashlib.sha256(bytes_[s:e]).hexdigest() for s, e in pairwise(at.tolist())], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"])
 
     return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, ", ".join(fields))
 
