@@ -94,10 +94,10 @@ def feed_rewrites(t: Tables):
 # --- joins -----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, p.band FROM lineitem JOIN (SELECT p_partkey AS band, p_size AS a, p_size + 2 AS b FROM part WHERE p_partkey % 100 = 0) p ON l_quantity BETWEEN a AND b")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, p.a AS band, n_parts FROM lineitem JOIN (SELECT p_size AS a, p_size + 2 AS b, count(*) AS n_parts FROM part GROUP BY p_size) p ON l_quantity BETWEEN a AND b")
 def range_join(t: Tables):
-    bands = t.part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("band"), F.col("p_size").alias("a"), (F.col("p_size") + 2).alias("b"))
-    return joins.range_join(t.lineitem, bands, "l_quantity", "a", "b", 4).select("l_orderkey", "l_linenumber", "l_partkey", "band")
+    bands = t.part.groupBy(F.col("p_size").alias("a")).agg(F.count("*").alias("n_parts")).withColumn("b", F.col("a") + 2)
+    return joins.range_join(t.lineitem, bands, "l_quantity", "a", "b", 4).select("l_orderkey", "l_linenumber", "l_partkey", F.col("a").alias("band"), "n_parts")
 
 
 @query("""SELECT e.event_id, f.k AS fleet FROM events e JOIN (SELECT s_suppkey AS k, s_suppkey * 20 AS a, s_suppkey * 20 + 9 AS b, s_suppkey % 3 AS c FROM supplier) f
@@ -109,14 +109,14 @@ def fleet_join(t: Tables):
     return joins.fleet_of(t.events.select("event_id", (F.col("event_id") % 3).alias("chateau"), label.alias("label")), fleet).select("event_id", "fleet")
 
 
-_NEAR_SQL = f"""a AS (SELECT stop_id, lon, lat, name, brand FROM ({STOPS_SQL}) WHERE stop_id % 4 = 0), b AS (SELECT stop_id AS osm_id, lon + CAST(0.0013 AS DOUBLE) AS lon, lat, name, brand FROM ({STOPS_SQL}) WHERE stop_id % 4 = 1),
+_NEAR_SQL = f"""a AS (SELECT stop_id, lon, lat, name, brand FROM ({STOPS_SQL})), b AS (SELECT stop_id AS osm_id, lon + CAST(0.0013 AS DOUBLE) AS lon, lat, name, brand FROM ({STOPS_SQL})),
 d AS (SELECT a.stop_id, b.osm_id, a.name, b.name AS r_name, a.brand = b.brand AS same, {_HAV.format(a='a.', b='b.')} AS m FROM a JOIN b ON abs(a.lat - b.lat) < 0.02 AND abs(a.lon - b.lon) < 0.02)"""
 
 
 def _near(t: Tables):
     stops = views.stops(t)
-    right = stops.where("stop_id % 4 = 1").select(F.col("stop_id").alias("osm_id"), F.col("name").alias("r_name"), (F.col("lon") + 0.0013).alias("r_lon"), F.col("lat").alias("r_lat"), F.col("brand").alias("r_mode"))
-    return stops.where("stop_id % 4 = 0").select("stop_id", "name", "lon", "lat", F.col("brand").alias("mode")), right
+    right = stops.select(F.col("stop_id").alias("osm_id"), F.col("name").alias("r_name"), (F.col("lon") + 0.0013).alias("r_lon"), F.col("lat").alias("r_lat"), F.col("brand").alias("r_mode"))
+    return stops.select("stop_id", "name", "lon", "lat", F.col("brand").alias("mode")), right
 
 
 @query(f"WITH {_NEAR_SQL} SELECT stop_id, min_by(osm_id, (m, osm_id)) AS osm_id, round(min(m), 3) AS metres FROM d WHERE m <= 1900 GROUP BY 1")
@@ -198,12 +198,13 @@ def bbox_aggregate(t: Tables):
     return spatial.bounds(views.stops(t), ("brand",))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS u, l_suppkey - l_suppkey % 7 AS v FROM lineitem UNION SELECT p_partkey, p_partkey + 70 FROM part WHERE p_partkey % 70 = 0 AND p_partkey % 420 <> 0 AND p_partkey < 3000),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS u, l_suppkey - l_suppkey % 7 AS v FROM lineitem UNION SELECT p_partkey + 1000000000, p_partkey + 1000000000 + CASE WHEN p_partkey % 6 = 5 THEN 0 ELSE 1 END FROM part),
 b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, c) AS (SELECT u, u FROM b UNION SELECT b.v, r.c FROM r JOIN b ON r.node = b.u WHERE r.c < b.v)
 SELECT node, min(c) AS component FROM r GROUP BY 1""")
 def connected_components(t: Tables):
     one = t.lineitem.select(F.col("l_suppkey").alias("u"), (F.col("l_suppkey") - F.col("l_suppkey") % 7).alias("v")).distinct()
-    two = t.part.where("p_partkey % 70 = 0 AND p_partkey % 420 <> 0 AND p_partkey < 3000").select(F.col("p_partkey").alias("u"), (F.col("p_partkey") + 70).alias("v"))
+    key = F.col("p_partkey") + 1_000_000_000
+    two = t.part.select(key.alias("u"), (key + F.when(F.col("p_partkey") % 6 == 5, 0).otherwise(1)).alias("v"))
     return components.components(one.unionByName(two))
 
 
@@ -306,7 +307,7 @@ def search_bm25(t: Tables):
     return found.select("doc_id", F.round("score", 4).alias("score"))
 
 
-_EDGES_SQL = f"e AS (SELECT a, b, min(c) AS c FROM (SELECT stop_id AS a, lead(stop_id) OVER (PARTITION BY trip_id ORDER BY stop_sequence) AS b, CAST(60 + stop_id % 50 AS DOUBLE) AS c FROM ({CALLS_SQL}) WHERE trip_id % 4 = 0) WHERE b IS NOT NULL GROUP BY 1, 2)"
+_EDGES_SQL = f"e AS (SELECT a, b, min(c) AS c FROM (SELECT stop_id AS a, lead(stop_id) OVER (PARTITION BY trip_id ORDER BY stop_sequence) AS b, CAST(60 + stop_id % 50 AS DOUBLE) AS c FROM ({CALLS_SQL})) WHERE b IS NOT NULL GROUP BY 1, 2)"
 
 
 @query(f"""WITH RECURSIVE {_EDGES_SQL}, src AS (SELECT min(a) AS s FROM e), r(node, cost) AS (SELECT s, CAST(0 AS DOUBLE) FROM src UNION SELECT e.b, r.cost + e.c FROM r JOIN e ON r.node = e.a WHERE r.cost + e.c <= 300)
@@ -314,7 +315,7 @@ SELECT s AS source, node, min(cost) AS cost FROM r, src GROUP BY 1, 2""")
 def walk_costs(t: Tables):
     from pyspark.sql import Window
 
-    calls = views.calls(t).where("trip_id % 4 = 0")
+    calls = views.calls(t)
     edges = calls.select(F.col("stop_id").alias("a"), F.lead("stop_id").over(Window.partitionBy("trip_id").orderBy("stop_sequence")).alias("b"), (60 + F.col("stop_id") % 50).cast("double").alias("cost")).where("b IS NOT NULL")
     edges = components.checkpointed(edges.groupBy("a", "b").agg(F.min("cost").alias("cost")))
     start = edges.agg(F.min("a").alias("source")).select("source", F.col("source").alias("node"))

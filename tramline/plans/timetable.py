@@ -33,12 +33,12 @@ def service_days(t: Tables):
 
 @query(f"""WITH {_CALENDAR_SQL},
 span AS (SELECT service_id, min(date) AS start_date, max(date) AS end_date FROM days GROUP BY 1),
-total AS (SELECT service_id, CAST(isodow(d) AS INTEGER) AS wd, count(*) AS n FROM (SELECT service_id, unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS d FROM span) GROUP BY 1, 2),
-ran AS (SELECT service_id, CAST(isodow(date) AS INTEGER) AS wd, count(*) AS k FROM days GROUP BY 1, 2),
-both_ AS (SELECT t.service_id, t.wd, n, coalesce(k, 0) AS k FROM total t LEFT JOIN ran r ON t.service_id = r.service_id AND t.wd = r.wd)
-SELECT s.service_id, CAST(sum(CASE WHEN 2 * k > n THEN 1 << (wd - 1) ELSE 0 END) AS INTEGER) AS mask, start_date, end_date,
-  CAST(sum(CASE WHEN 2 * k > n THEN 0 ELSE k END) AS BIGINT) AS n_added, CAST(sum(CASE WHEN 2 * k > n THEN n - k ELSE 0 END) AS BIGINT) AS n_removed
-FROM span s JOIN both_ b ON s.service_id = b.service_id GROUP BY s.service_id, start_date, end_date""")
+grid AS (SELECT service_id, CAST(d AS DATE) AS date FROM (SELECT service_id, unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS d FROM span)),
+mark AS (SELECT g.service_id, CAST(isodow(g.date) AS INTEGER) - 1 AS wd, d.date IS NOT NULL AS runs FROM grid g LEFT JOIN days d ON g.service_id = d.service_id AND g.date = d.date),
+sums AS (SELECT service_id, wd, count(*) FILTER (runs) AS ran, count(*) FILTER (NOT runs) AS idle FROM mark GROUP BY 1, 2),
+tried AS (SELECT service_id, m AS mask, sum(CASE WHEN (m >> wd) & 1 = 1 THEN 0 ELSE ran END) AS n_added, sum(CASE WHEN (m >> wd) & 1 = 1 THEN idle ELSE 0 END) AS n_removed FROM sums, (SELECT unnest(range(128)) AS m) GROUP BY 1, 2),
+best AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY service_id ORDER BY n_added + n_removed, mask) = 1)
+SELECT b.service_id, CAST(mask AS INTEGER) AS mask, start_date, end_date, CAST(n_added AS BIGINT) AS n_added, CAST(n_removed AS BIGINT) AS n_removed FROM best b JOIN span USING (service_id)""")
 def optimal_calendar(t: Tables):
     return calendar.optimal_calendar(_days(t))
 
@@ -60,22 +60,20 @@ def service_instants(t: Tables):
     return calendar.service_instants(t.orders.select(F.to_date("o_orderdate").alias("date")).distinct(), "America/Los_Angeles")
 
 
-_PATTERN_SQL = f"""trips AS ({TRIPS_SQL}), calls AS ({CALLS_SQL}),
-listed AS (SELECT trip_id, min_by(departure, stop_sequence) AS first_dep, count(*) AS n, string_agg(CAST(stop_id AS VARCHAR), ',' ORDER BY stop_sequence) AS stops FROM calls GROUP BY 1),
-rel AS (SELECT c.trip_id, string_agg(concat_ws(':', stop_id, arrival - first_dep, departure - first_dep), ',' ORDER BY stop_sequence) AS body FROM calls c JOIN listed l ON c.trip_id = l.trip_id GROUP BY 1),
-full_ AS (SELECT t.trip_id, t.route_id, t.headsign, l.stops, r.body, l.first_dep FROM trips t JOIN listed l ON t.trip_id = l.trip_id JOIN rel r ON t.trip_id = r.trip_id WHERE n >= 2)"""
+#: Two stops and times of a fixed rhythm, so that patterns are shared.
+_SHARED_SQL = f"""trips AS ({TRIPS_SQL}), calls AS (SELECT trip_id, stop_id % 2 AS stop_id, stop_sequence, stop_sequence * 300 + (trip_id % 2) * 60 * (stop_sequence - 1) AS arrival,
+  stop_sequence * 300 + (trip_id % 2) * 60 * (stop_sequence - 1) + 30 AS departure FROM ({CALLS_SQL}))"""
 
 
 def _compressed(t: Tables):
     trips = views.trips(t).select("trip_id", F.lit(1).alias("route_id"), "service_id", F.lit(0).alias("direction_id"), "headsign", F.lit(None).cast("string").alias("shape_id"))
-    # few stops, so that patterns are shared
-    few = views.calls(t).where("stop_sequence <= 2").withColumn("stop_id", F.col("stop_id") % 7).withColumn("arrival", F.col("stop_sequence") * 300).withColumn("departure", F.col("stop_sequence") * 300 + 30)
-    return timetable.compress(trips, few)
+    at = F.col("stop_sequence") * 300 + F.col("trip_id") % 2 * 60 * (F.col("stop_sequence") - 1)
+    return timetable.compress(trips, views.calls(t).withColumn("stop_id", F.col("stop_id") % 2).withColumn("arrival", at).withColumn("departure", at + 30))
 
 
-@query(f"""WITH trips AS ({TRIPS_SQL}), calls AS (SELECT trip_id, stop_id % 7 AS stop_id, stop_sequence, stop_sequence * 300 AS arrival FROM ({CALLS_SQL}) WHERE stop_sequence <= 2),
-listed AS (SELECT trip_id, count(*) AS n, string_agg(CAST(stop_id AS VARCHAR), '>' ORDER BY stop_sequence) AS stops FROM calls GROUP BY 1)
-SELECT headsign, stops, count(*) AS n_trips, CAST(2 AS BIGINT) AS n_calls FROM trips t JOIN listed l ON t.trip_id = l.trip_id WHERE n >= 2 GROUP BY 1, 2""")
+@query(f"""WITH {_SHARED_SQL},
+listed AS (SELECT trip_id, count(*) AS n, string_agg(CAST(stop_id AS VARCHAR), '>' ORDER BY stop_sequence) AS stops, string_agg(CAST(arrival AS VARCHAR), ',' ORDER BY stop_sequence) AS times FROM calls GROUP BY 1)
+SELECT headsign, stops, count(*) AS n_trips, max(n) AS n_calls FROM trips t JOIN listed l ON t.trip_id = l.trip_id WHERE n >= 2 GROUP BY headsign, stops, times""")
 def pattern_compress(t: Tables):
     trips, itineraries, directions = _compressed(t)
     sizes = itineraries.groupBy("pattern_id", "direction_pattern_id").agg(F.count("*").alias("n_calls"))
@@ -84,9 +82,8 @@ def pattern_compress(t: Tables):
     return joined.select("headsign", F.array_join("stop_ids", ">").alias("stops"), "n_trips", "n_calls")
 
 
-@query(f"""WITH trips AS ({TRIPS_SQL}), calls AS (SELECT trip_id, stop_id % 7 AS stop_id, stop_sequence FROM ({CALLS_SQL}) WHERE stop_sequence <= 2),
-n AS (SELECT trip_id FROM calls GROUP BY 1 HAVING count(*) = 2)
-SELECT c.trip_id, stop_sequence - 1 AS stop_sequence, stop_id, CAST(epoch(CAST(date AS TIMESTAMP)) AS BIGINT) + stop_sequence * 300 AS arrival, CAST(epoch(CAST(date AS TIMESTAMP)) AS BIGINT) + stop_sequence * 300 + 30 AS departure
+@query(f"""WITH {_SHARED_SQL}, n AS (SELECT trip_id FROM calls GROUP BY 1 HAVING count(*) >= 2)
+SELECT c.trip_id, stop_sequence - 1 AS stop_sequence, stop_id, CAST(epoch(CAST(date AS TIMESTAMP)) AS BIGINT) + arrival AS arrival, CAST(epoch(CAST(date AS TIMESTAMP)) AS BIGINT) + departure AS departure
 FROM calls c JOIN n ON c.trip_id = n.trip_id JOIN trips t ON c.trip_id = t.trip_id""")
 def timetable_decompress(t: Tables):
     packed, itineraries, _ = _compressed(t)
@@ -170,13 +167,13 @@ def rt_overlay(t: Tables):
     return realtime.overlay(scheduled, _updates(scheduled)).select(*_LAID)
 
 
-@query(f"""WITH {_BOARD_SQL}, wanted AS (SELECT stop_id FROM stops WHERE stop_id % 40 = 7)
+@query(f"""WITH {_BOARD_SQL}, wanted AS (SELECT stop_id FROM stops)
 SELECT {', '.join(_LAID)}, headsign, coalesce(realtime_departure, realtime_arrival, departure, arrival, 0) AS sort_time FROM laid
 WHERE stop_id IN (SELECT stop_id FROM wanted) AND (coalesce(realtime_departure BETWEEN {_FROM} AND {_TO}, false) OR coalesce(realtime_arrival BETWEEN {_FROM} AND {_TO}, false)
   OR departure BETWEEN {_FROM} AND {_TO} OR arrival BETWEEN {_FROM} AND {_TO})""")
 def departures_at_stop(t: Tables):
-    """Only trips near the window, and of them only calls at the stops, are joined and laid over."""
-    wanted = views.stops(t).where("stop_id % 40 = 7").select("stop_id")
+    """Only trips near the window, and of them only calls at the stops, are joined and laid over. [D6, J3, O1, P10]"""
+    wanted = views.stops(t).select("stop_id")
     near = F.col("date").between(F.to_date(F.timestamp_seconds(F.lit(_FROM - 3 * 86_400))), F.to_date(F.timestamp_seconds(F.lit(_TO + 86_400))))
     scheduled = _scheduled(t).where(near)
     at_stops = scheduled.join(wanted, "stop_id", "left_semi")
@@ -184,9 +181,9 @@ def departures_at_stop(t: Tables):
 
 
 @query(f"""WITH {_BOARD_SQL}, al AS (SELECT e.event_id, 1 + e.event_id % 2 AS effect, e.user_id AS stop_id, 820454400 + (e.event_id % 60) * 86400 AS a, 820454400 + (e.event_id % 60) * 86400 + 40 * 86400 AS b FROM events e)
-SELECT trip_id, stop_sequence, stop_id, trip_cancelled, stop_cancelled OR EXISTS (SELECT 1 FROM al WHERE effect = 1 AND al.stop_id = laid.stop_id AND a <= departure AND b >= departure) AS stop_cancelled FROM laid WHERE stop_id % 3 = 0""")
+SELECT trip_id, stop_sequence, stop_id, trip_cancelled, stop_cancelled OR EXISTS (SELECT 1 FROM al WHERE effect = 1 AND al.stop_id = laid.stop_id AND a <= departure AND b >= departure) AS stop_cancelled FROM laid""")
 def alert_overlay(t: Tables):
-    scheduled = _scheduled(t).where("stop_id % 3 = 0")
+    scheduled = _scheduled(t)
     begin = 820_454_400 + F.col("event_id") % 60 * 86_400
     alerts = t.events.select((F.col("event_id") % 2 + 1).alias("effect"), F.col("user_id").alias("stop_id"), begin.alias("start"), (begin + 40 * 86_400).alias("end"))
     return departures.cancelled_by_alert(realtime.overlay(scheduled, _updates(scheduled)), alerts).select("trip_id", "stop_sequence", "stop_id", "trip_cancelled", "stop_cancelled")
@@ -206,12 +203,12 @@ def closest_update(t: Tables):
     return realtime.closest_update(updates, F.lit(1000)).select("trip_id", "stop_id", "arrival")
 
 
-@query("""WITH ev AS (SELECT o_orderkey AS event_id, o_custkey AS service_id, CAST(o_orderdate AS DATE) AS observed FROM orders WHERE o_orderkey % 4 = 0),
+@query("""WITH ev AS (SELECT o_orderkey AS event_id, o_custkey AS service_id, CAST(o_orderdate AS DATE) AS observed FROM orders),
 days AS (SELECT DISTINCT o_custkey AS service_id, CAST(o_orderdate AS DATE) + 3 AS date FROM orders)
 SELECT event_id, d.date FROM ev JOIN days d ON ev.service_id = d.service_id AND d.date BETWEEN observed - 10 AND observed + 9
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(d.date - observed), d.date) = 1""")
 def service_date_asof(t: Tables):
-    seen = t.orders.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("service_id"), F.to_date("o_orderdate").alias("observed"))
+    seen = t.orders.select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("service_id"), F.to_date("o_orderdate").alias("observed"))
     days = t.orders.select(F.col("o_custkey").alias("service_id"), F.date_add(F.to_date("o_orderdate"), 3).alias("date")).distinct()
     return realtime.nearest_service_date(seen, days).select("event_id", "date")
 
