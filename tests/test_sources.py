@@ -38,7 +38,7 @@ def test_registry_and_areas(spark, tmp_path):
     square = [[[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]]
     (tmp_path / "a.json").write_text(json.dumps({"features": [{"properties": {"id": "A"}, "geometry": {"type": "Polygon", "coordinates": square}}, {"properties": {"id": "B"}, "geometry": {"type": "MultiPolygon", "coordinates": [square, square]}}]}))
     got = feeds.areas(spark, str(tmp_path / "a.json"), "id").collect()
-    assert sorted(r.area_id for r in got) == ["A", "B", "B"] and all(len(r.ring) == 5 for r in got)
+    assert sorted(r.area_id for r in got) == ["A", "B", "B"] and all(len(r.rings[0]) == 5 for r in got)
 
 
 def test_osm(spark):

@@ -59,6 +59,22 @@ def domain_label(url: Column) -> Column:
     return F.when(F.size(labels) >= 2, F.get(labels, F.size(labels) - 2))
 
 
+def registrable_label(url: Column) -> Column:
+    """The name part of an address's host, with or without a scheme: the label before 'org', or before 'co.uk'. [F32, D35]"""
+    host = F.coalesce(host_of(url), host_of(F.concat(F.lit("https://"), url)))
+    labels = F.filter(F.split(F.regexp_replace(host, r"\.+$", ""), r"\."), lambda x: x != "")
+    n = F.size(labels)
+    double = (n >= 3) & (F.char_length(F.try_element_at(labels, F.lit(-1))) == 2) & F.try_element_at(labels, F.lit(-2)).isin("ac", "co", "com", "edu", "gov", "net", "org")
+    found = F.when(n == 1, F.get(labels, F.lit(0))).when(double, F.get(labels, n - 3)).otherwise(F.get(labels, n - 2))
+    return F.when(~host.rlike(r"^[0-9.]+$|^\["), found)
+
+
+def unified_agency_id(name: Column, url: Column, generic: list[str]) -> Column:
+    """One id for an agency in all feeds: of a generic name its address's label, else the name with '_' for blanks. [D35]"""
+    label = F.when(F.lower(F.trim(name)).isin([g.strip().lower() for g in generic]), registrable_label(url))
+    return F.coalesce(label, F.replace(name, F.lit(" "), F.lit("_")))
+
+
 def file_safe(name: Column) -> Column:
     """A name as part of a file name. [F33]"""
     return F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_")

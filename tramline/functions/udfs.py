@@ -144,6 +144,32 @@ def simplify_udf(line, tolerance):
     return None if line is None else [{"lon": x, "lat": y} for x, y in simplified(_points(line), tolerance)]
 
 
+def clipped_line(points: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[list[tuple[float, float]]]:
+    """The stretches of a line inside a box, in order. [F26]"""
+    out: list[list[tuple[float, float]]] = []
+    for a, b in zip(points, points[1:], strict=False):
+        part = clipped(a, b, box)
+        if part is None:
+            continue
+        if out and out[-1][-1] == part[0]:
+            out[-1].append(part[1])
+        else:
+            out.append(list(part))
+    return [s for s in out if len(set(s)) > 1]
+
+
+@F.udf(T.ArrayType(_LINE), useArrow=True)
+def clip_udf(line, box):
+    if line is None:
+        return None
+    return [[{"lon": x, "lat": y} for x, y in part] for part in clipped_line(_points(line), (box["west"], box["south"], box["east"], box["north"]))]
+
+
+@F.udf(_LINE, useArrow=True)
+def polyline_points_udf(text):
+    return None if text is None else [{"lon": x, "lat": y} for x, y in polyline_points(text)]
+
+
 @F.udf(T.BinaryType(), useArrow=True)
 def deflated(data):
     """[F29]"""

@@ -61,9 +61,8 @@ def optimal_calendar(days: DataFrame, keys: tuple[str, ...] = ("service_id",)) -
 
 def equivalent_services(days: DataFrame, key: str = "service_id") -> DataFrame:
     """``key`` and ``canonical``: the least id of the services that run on the same days. [A11]"""
-    sets = days.groupBy(key).agg(F.sort_array(F.collect_set("date")).alias("dates"))
-    least = sets.groupBy("dates").agg(F.min(key).alias("canonical"), F.collect_list(key).alias("own"))
-    return least.select(F.explode("own").alias(key), "canonical")
+    sets = days.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("date")), ",").alias("dates")).select(key, F.sha2("dates", 256).alias("dates"))
+    return sets.join(sets.groupBy("dates").agg(F.min(key).alias("canonical")), "dates").select(key, "canonical")
 
 
 def feed_span(days: DataFrame, keys: tuple[str, ...]) -> DataFrame:

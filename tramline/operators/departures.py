@@ -32,7 +32,7 @@ def stop_group(stops: DataFrame, stop_id: object) -> DataFrame:
     """A stop with its children, and its parent's other children where name, level and platform agree. [D6, J8]"""
     own = stops.where(F.col("stop_id") == stop_id).select(F.col("stop_id").alias("__s"), F.col("parent_station").alias("__p"), F.col("name").alias("__n"), F.col("level_id").alias("__l"), F.col("platform_code").alias("__c"))
     same = (F.col("parent_station") == F.col("__p")) & F.col("name").eqNullSafe(F.col("__n")) & F.col("level_id").eqNullSafe(F.col("__l")) & F.col("platform_code").eqNullSafe(F.col("__c"))
-    return stops.join(F.broadcast(own), (F.col("stop_id") == F.col("__s")) | (F.col("parent_station") == F.col("__s")) | same, "left_semi")
+    return stops.join(own, (F.col("stop_id") == F.col("__s")) | (F.col("parent_station") == F.col("__s")) | same, "left_semi")
 
 
 def cancelled_by_alert(events: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -58,9 +58,11 @@ def nearby(calls: DataFrame, stops: DataFrame, lon: float, lat: float, start: in
     return events.drop("__h", "__s")
 
 
-def cut_off(kind: Column, candidates: Column) -> Column:
-    """How far buses count, less the more stops there are; rail stations by kind. [P8]"""
-    return F.when(kind == 2, 3000).when(kind.isin(0, 1), 2000).when(candidates > 800, 1000).when(candidates > 350, 1500).when(candidates > 100, 2500).otherwise(4000)
+def near_enough(metres: Column, kind: Column, stops: Column, stations: Column) -> Column:
+    """Whether a stop counts at its distance: the more ``stops`` (and merged ``stations``) are in reach, the less far
+    buses, and from 100 stations on all, may be. [P8]"""
+    bus = F.when(stops > 800, 1000).when(stops > 500, 1500).when((stops > 300) & (stations <= 50), 2500).when(stations > 50, 2000).when(stops > 100, 4000)
+    return ~F.coalesce((kind == 3) & (metres > bus), F.lit(False)) & ~((stations > 100) & (metres > 2500))
 
 
 def block(trips: DataFrame, calls: DataFrame, block_id: object) -> DataFrame:

@@ -35,7 +35,7 @@ def z_scores(stations: DataFrame, columns: list[str], within: list[str] | None =
     """
     within = within or []
     stats = stations.groupBy(*within).agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    joined = stations.join(F.broadcast(stats), within) if within else stations.crossJoin(F.broadcast(stats))  # one row
+    joined = stations.join(stats, within) if within else stations.crossJoin(F.broadcast(stats))  # one row
     scores = [F.when(F.col(f"__s_{c}") < 1e-9, 0.0).otherwise((F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).alias(f"z_{c}") for c in columns]
     return joined.select(*stations.columns, *scores)
 
@@ -68,11 +68,11 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], parts: int = 6
     """
     first = order[0]
     cuts = df.groupBy(*groups).agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 1000).alias("__cuts"))
-    placed = df.join(F.broadcast(cuts), groups).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < first))).drop("__cuts")
+    placed = df.join(cuts, groups).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < first))).drop("__cuts")
     counts = placed.groupBy(*groups, "__part").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("__n").over(Window.partitionBy(*groups)))
     number = F.row_number().over(Window.partitionBy(*groups, "__part").orderBy(*order))
-    joined = placed.join(F.broadcast(before), [*groups, "__part"])
+    joined = placed.join(before, [*groups, "__part"])
     return joined.withColumn("position", F.col("__before") + number).drop("__part", "__n", "__before")
 
 

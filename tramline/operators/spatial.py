@@ -2,34 +2,61 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.geo import EARTH_M, haversine, tile_x, tile_y
 
 
-def _cells(df: DataFrame, lon: str, lat: str, degrees: float, around: bool) -> DataFrame:
-    x, y = F.floor(F.col(lon) / degrees).cast("long"), F.floor(F.col(lat) / degrees).cast("long")
+def _columns(row: Column, metres: float, height: float) -> Column:
+    """Number of cells around the globe in a row of cells: each is at least as wide as ``metres`` anywhere in the rows
+    beside it; near the poles one cell is the whole row."""
+    top = F.least(F.lit(90.0), F.greatest(F.abs((row - 1) * height), F.abs((row + 2) * height)))
+    reach = F.sin(F.lit(metres / EARTH_M / 2)) / F.greatest(F.cos(F.radians(top)), F.lit(1e-12))
+    wide = F.degrees(2 * F.asin(F.least(F.lit(1.0), reach))) * 1.001
+    fits = F.floor(360 / wide)
+    return F.when(fits >= 3, fits).otherwise(1).cast("long")
+
+
+def _column(lon: Column, columns: Column) -> Column:
+    return F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * columns).cast("long"), columns - 1)
+
+
+def _cells(df: DataFrame, at: tuple[str, str], metres: float, around: bool) -> DataFrame:
+    height = math.degrees(metres / EARTH_M) * 1.001
+    lon, row = F.col(at[0]), F.floor(F.col(at[1]) / height).cast("long")
     if not around:
-        return df.withColumn("__x", x).withColumn("__y", y)
-    return df.withColumn("__x", F.explode(F.sequence(x - 1, x + 1))).withColumn("__y", F.explode(F.sequence(y - 1, y + 1)))
+        return df.withColumns({"__y": row, "__x": _column(lon, _columns(row, metres, height))})
 
+    def beside(y: Column) -> Column:
+        n = _columns(y, metres, height)
+        steps = F.when(n > 1, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        return F.transform(steps, lambda d: F.struct(y.alias("y"), F.pmod(_column(lon, n) + d, n).alias("x")))
 
-def radius_join(left: DataFrame, right: DataFrame, metres: float, *, widest_lat: float = 60.0, left_at: tuple[str, str] = ("lon", "lat"), right_at: tuple[str, str] = ("r_lon", "r_lat")) -> DataFrame:
-    """Pairs at most ``metres`` apart, with ``metres``. [J15, O6, G4]
+    cells = F.flatten(F.transform(F.sequence(row - 1, row + 1), beside))
+    return df.withColumn("__c", F.explode(cells)).withColumns({"__y": F.col("__c.y"), "__x": F.col("__c.x")}).drop("__c")
 
-    Cells are as wide as the radius at ``widest_lat``, so all partners are in the nine around. Each left row meets its
-    own cell only; the right side is replicated, so give the smaller one there. A crowded cell is split by adaptive
-    execution. Beyond ``widest_lat`` pairs can be missed: set it higher there.
-    """
-    import math
 
-    degrees = math.degrees(metres / EARTH_M) / math.cos(math.radians(widest_lat)) * 1.001
-    pairs = _cells(left, *left_at, degrees, False).join(_cells(right, *right_at, degrees, True), ["__x", "__y"]).drop("__x", "__y")
+def radius_join(left: DataFrame, right: DataFrame, metres: float, *, left_at: tuple[str, str] = ("lon", "lat"), right_at: tuple[str, str] = ("r_lon", "r_lat")) -> DataFrame:
+    """Pairs at most ``metres`` apart, with ``metres``; at any latitude and over the date line. [J15, O6, G4]
+
+    Rows of cells are as high as the radius; how many cells a row has follows from its latitude, so all partners are in
+    the nine cells around (fewer at the poles). Each left row meets its own cell only; the right side is replicated,
+    so give the smaller one there. A crowded cell is split by adaptive execution.
+    """
+    pairs = _cells(left, left_at, metres, False).join(_cells(right, right_at, metres, True), ["__x", "__y"]).drop("__x", "__y")
     away = haversine(F.col(left_at[0]), F.col(left_at[1]), F.col(right_at[0]), F.col(right_at[1]))
     return pairs.withColumn("metres", away).where(F.col("metres") <= metres)
 
 
+def nearest_k(left: DataFrame, right: DataFrame, metres: float, left_id: str, right_id: str, k: int, **at) -> DataFrame:
+    """Of each left row its ``k`` nearest right rows within a radius, with ``rank`` from 1; the lesser id of equals. [O6]"""
+    rank = Window.partitionBy(left_id).orderBy("metres", right_id)
+    return radius_join(left, right, metres, **at).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(left_id, right_id, "metres", "rank")
+
+
 def nearest_within(left: DataFrame, right: DataFrame, metres: float, left_id: str, right_id: str, **at) -> DataFrame:
     """Of each left row its nearest right row within a radius, the lesser id of equals. [J15, D17]"""
     pairs = radius_join(left, right, metres, **at)
@@ -41,13 +68,15 @@ def matched_stations(stops: DataFrame, stations: DataFrame, similarity, metres:
 
     ``stops``: stop_id, name, lon, lat, mode; ``stations``: osm_id, r_name, r_lon, r_lat, r_mode. The score is 0.3 of the
     name's ``similarity`` (a column function of two) and 0.7 of closeness; at least ``accept`` counts; the same mode
-    goes before others whatever the score, the least id before equals.
+    goes before others whatever the score, the least id before equals. Names are only compared for pairs that are near
+    enough to be accepted with equal names, and each pair of names once.
     """
-    pairs = radius_join(stops, stations, metres)
-    scored = pairs.withColumn("score", 0.3 * similarity(F.lower("name"), F.lower("r_name")) + 0.7 * (1 - F.col("metres") / metres)).where(F.col("score") >= accept)
+    pairs = radius_join(stops, stations, metres).withColumn("close", 0.7 * (1 - F.col("metres") / metres)).where(F.col("close") >= accept - 0.3)
+    names = pairs.select(F.lower("name").alias("a"), F.lower("r_name").alias("b")).distinct().withColumn("alike", similarity(F.col("a"), F.col("b")))
+    scored = pairs.join(names, (F.lower("name") == F.col("a")) & (F.lower("r_name") == F.col("b"))).withColumn("score", 0.3 * F.col("alike") + F.col("close")).where(F.col("score") >= accept)
     tier = F.when(F.col("mode") == F.col("r_mode"), 0).otherwise(1)
-    rank = Window.partitionBy("stop_id").orderBy(tier, F.desc("score"), "osm_id")
-    return scored.withColumn("__r", F.row_number().over(rank)).where("__r = 1").select("stop_id", "osm_id", "score")
+    best = F.min_by(F.struct("osm_id", "score"), F.struct(tier, -F.col("score"), "osm_id"))
+    return scored.groupBy("stop_id").agg(best.alias("m")).select("stop_id", "m.osm_id", "m.score")
 
 
 def with_parent_match(stops: DataFrame, matches: DataFrame) -> DataFrame:
@@ -57,18 +86,25 @@ def with_parent_match(stops: DataFrame, matches: DataFrame) -> DataFrame:
     return own.join(children, "stop_id", "left").withColumn("osm_id", F.coalesce("osm_id", "__child")).drop("__child")
 
 
-def in_polygons(points: DataFrame, polygons: DataFrame, point_id: str = "point_id") -> DataFrame:
-    """``point_id`` and ``area_id`` of each polygon that a point is in, by ray casting in SQL. [J17]
+def in_polygons(points: DataFrame, polygons: DataFrame, point_id: str = "point_id", cell: float = 1.0) -> DataFrame:
+    """``point_id`` and ``area_id`` of each polygon that a point is in; points in its holes are outside. [J17]
 
-    ``polygons``: area_id, ring (array of lon, lat structs, closed or not). Areas are broadcast as boxes and rings where
-    Spark finds them small; a point meets only those whose box holds it, and crossings are counted within the row.
+    ``polygons``: area_id and ``rings``, an array of rings (arrays of lon, lat structs, closed or not), outer ones and
+    holes; an area may have several rows. Areas become the cells of ``cell`` degrees that their boxes touch, so points
+    find them by equality; those whose box holds them meet the rings, and crossings are counted within the row.
     """
-    box = [pick(F.col(f"ring.{field}")).alias(name) for name, field, pick in (("w", "lon", F.array_min), ("e", "lon", F.array_max), ("s", "lat", F.array_min), ("n", "lat", F.array_max))]
-    areas = polygons.select("area_id", "ring", *box)
-    near = points.join(areas, (F.col("lon") >= F.col("w")) & (F.col("lon") <= F.col("e")) & (F.col("lat") >= F.col("s")) & (F.col("lat") <= F.col("n")))
-    ahead = F.concat(F.slice("ring", 2, F.size("ring") - 1), F.slice("ring", 1, 1))
-    crosses = F.zip_with("ring", ahead, lambda a, b: ((a["lat"] > F.col("lat")) != (b["lat"] > F.col("lat"))) & (F.col("lon") < (b["lon"] - a["lon"]) * (F.col("lat") - a["lat"]) / (b["lat"] - a["lat"]) + a["lon"]))
-    return near.where(F.size(F.filter(crosses, lambda c: c)) % 2 == 1).select(point_id, "area_id")
+    corner = lambda name, field: F.expr(f"array_{name}(transform(flatten(rings), p -> p.{field}))")
+    boxes = polygons.select(F.xxhash64("area_id", "rings").alias("__ring"), "area_id", corner("min", "lon").alias("w"), corner("max", "lon").alias("e"), corner("min", "lat").alias("s"), corner("max", "lat").alias("n"))
+    at = lambda c: F.floor(c / cell).cast("int")
+    cells = boxes.withColumn("__x", F.explode(F.sequence(at(F.col("w")), at(F.col("e"))))).withColumn("__y", F.explode(F.sequence(at(F.col("s")), at(F.col("n")))))
+    placed = points.select(point_id, "lon", "lat", at(F.col("lon")).alias("__x"), at(F.col("lat")).alias("__y"))
+    near = placed.join(cells, ["__x", "__y"]).where(F.expr("lon BETWEEN w AND e AND lat BETWEEN s AND n")).select(point_id, "lon", "lat", "__ring")
+    rings = polygons.select(F.xxhash64("area_id", "rings").alias("__ring"), "area_id", F.explode("rings").alias("ring")).groupBy("__ring", "area_id").agg(F.collect_list("ring").alias("rings"))
+    crossings = F.expr(
+        """aggregate(rings, 0, (total, ring) -> total + size(filter(zip_with(ring, concat(slice(ring, 2, size(ring) - 1), slice(ring, 1, 1)),
+        (a, b) -> ((a.lat > lat) != (b.lat > lat)) AND lon < (b.lon - a.lon) * (lat - a.lat) / (b.lat - a.lat) + a.lon), x -> x)))"""
+    )
+    return near.join(rings, "__ring").where(crossings % 2 == 1).select(point_id, "area_id").distinct()
 
 
 def tile_counts(points: DataFrame, zoom: Column | int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -125,7 +161,7 @@ def suppressed(points: DataFrame, kilometres: float, score: str = "score", ident
     from tramline.operators.components import settled
 
     other = points.select(F.col(ident).alias("b"), F.col(score).alias("b_score"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    pairs = radius_join(points.select(F.col(ident).alias("a"), F.col(score).alias("a_score"), "lon", "lat"), other, kilometres * 1000, widest_lat=75.0)
+    pairs = radius_join(points.select(F.col(ident).alias("a"), F.col(score).alias("a_score"), "lon", "lat"), other, kilometres * 1000)
     better = pairs.where("b_score > a_score OR (b_score = a_score AND b < a)").select("a", "b")
     state = points.select(F.col(ident).alias("a")).withColumn("state", F.lit("open"))
 

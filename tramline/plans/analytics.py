@@ -137,10 +137,38 @@ SELECT stop_id AS point_id, area_id FROM s, p WHERE lat > y AND lat < y + 0.955
 def point_in_polygon(t: Tables):
     x, y = F.lit(-118.0231) + F.col("r_regionkey") * F.lit(0.2), F.lit(33.9037)
     corner = lambda dx, dy: F.struct((x + dx).alias("lon"), (y + dy).alias("lat"))
-    areas = t.region.select(F.col("r_regionkey").alias("area_id"), F.array(corner(0.0, 0.0), corner(0.335, 0.0), corner(0.0, 0.955)).alias("ring"))
+    areas = t.region.select(F.col("r_regionkey").alias("area_id"), F.array(F.array(corner(0.0, 0.0), corner(0.335, 0.0), corner(0.0, 0.955))).alias("rings"))
     return spatial.in_polygons(views.stops(t).select(F.col("stop_id").alias("point_id"), "lon", "lat"), areas)
 
 
+@query(f"""WITH s AS ({STOPS_SQL}), p AS (SELECT r_regionkey AS area_id, -118.0231 + r_regionkey * CAST(0.15 AS DOUBLE) AS x, CAST(33.9037 AS DOUBLE) AS y FROM region)
+SELECT stop_id AS point_id, area_id FROM s, p WHERE lat > y AND lat < y + 0.9 AND lon > x AND lon < x + 0.4 AND NOT (lat > y + 0.2 AND lat < y + 0.5 AND lon > x + 0.1 AND lon < x + 0.3)""")
+def polygon_holes(t: Tables):
+    x, y = F.lit(-118.0231) + F.col("r_regionkey") * F.lit(0.15), F.lit(33.9037)
+    corner = lambda dx, dy: F.struct((x + dx).alias("lon"), (y + dy).alias("lat"))
+    square = lambda a, b, c, d: F.array(corner(a, b), corner(c, b), corner(c, d), corner(a, d), corner(a, b))
+    areas = t.region.select(F.col("r_regionkey").alias("area_id"), F.array(square(0.0, 0.0, 0.4, 0.9), square(0.1, 0.2, 0.3, 0.5)).alias("rings"))
+    return spatial.in_polygons(views.stops(t).select(F.col("stop_id").alias("point_id"), "lon", "lat"), areas, cell=0.25)
+
+
+_GLOBE_SQL = "SELECT c_custkey AS id, CAST(c_custkey * 37 % 360 AS DOUBLE) - 180 + CAST(0.0007 AS DOUBLE) * (c_custkey % 11) AS lon, CAST(CASE c_custkey % 3 WHEN 0 THEN 89.2 WHEN 1 THEN 69.6 ELSE -77.8 END AS DOUBLE) + (c_custkey % 7) * CAST(0.09 AS DOUBLE) AS lat FROM customer"
+
+
+@query(f"""WITH g AS ({_GLOBE_SQL}) SELECT a.id, b.id AS r_id FROM g a JOIN g b ON abs(a.lat - b.lat) < 0.6 AND {_HAV.format(a='a.', b='b.')} <= 30000""")
+def radius_join_polar(t: Tables):
+    """Partners near the poles and over the date line. [J15]"""
+    key = F.col("c_custkey")
+    lat = F.when(key % 3 == 0, 89.2).when(key % 3 == 1, 69.6).otherwise(-77.8) + key % 7 * F.lit(0.09)
+    points = t.customer.select(key.alias("id"), ((key * 37 % 360).cast("double") - 180 + F.lit(0.0007) * (key % 11)).alias("lon"), lat.alias("lat"))
+    return spatial.radius_join(points, points.toDF("r_id", "r_lon", "r_lat"), 30_000).select("id", "r_id")
+
+
+@query(f"WITH {_NEAR_SQL} SELECT stop_id, osm_id, round(m, 3) AS metres, row_number() OVER (PARTITION BY stop_id ORDER BY m, osm_id) AS rank FROM d WHERE m <= 1900 QUALIFY rank <= 3")
+def nearest_candidates(t: Tables):
+    left, right = _near(t)
+    return spatial.nearest_k(left, right, 1900, "stop_id", "osm_id", 3).withColumn("metres", F.round("metres", 3))
+
+
 @query(f"""WITH s AS ({STOPS_SQL}) SELECT s.stop_id, s.parent_station, p.parent_station AS grandparent, coalesce((SELECT string_agg(CAST(c.stop_id AS VARCHAR), ',' ORDER BY c.stop_id) FROM s c WHERE c.parent_station = s.stop_id), '') AS children
 FROM s LEFT JOIN s p ON s.parent_station = p.stop_id""")
 def stop_family(t: Tables):

@@ -36,12 +36,12 @@ def fleet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def areas(spark: SparkSession, path: str, id_property: str) -> DataFrame:
-    """area_id and ring of each outer ring of a GeoJSON collection. [S15]"""
+    """area_id and ``rings`` (the outer one and its holes) of each polygon of a GeoJSON collection. [S15]"""
     schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     many = F.when(F.col("f.geometry.type") == "MultiPolygon", F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")).otherwise(F.array(F.from_json("f.geometry.coordinates", "array<array<array<double>>>")))
-    outer = rows.select(F.try_element_at("f.properties", F.lit(id_property)).alias("area_id"), F.explode(many).alias("polygon"))
-    return outer.select("area_id", F.transform(F.get("polygon", F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat"))).alias("ring"))
+    polygon = rows.select(F.try_element_at("f.properties", F.lit(id_property)).alias("area_id"), F.explode(many).alias("polygon"))
+    return polygon.select("area_id", F.transform("polygon", lambda ring: F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat")))).alias("rings"))
 
 
 def situations(xml: DataFrame, body: str = "body") -> DataFrame:
