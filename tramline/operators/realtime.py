@@ -87,7 +87,7 @@ def matched_stops(updates: DataFrame, scheduled: DataFrame, parents: DataFrame)
 
 
 def matched_trips(updates: DataFrame, trips: DataFrame, suffix: Column, active: DataFrame) -> DataFrame:
-    """Realtime trips by exact id, else by a derived suffix among services that run. [J19, D44]
+    """Realtime trips by exact id, else by a derived suffix among services that run. [J19]
 
     ``trips`` has trip_id, service_id, suffix; ``active`` service_id. Of several trips with a suffix the least id wins.
     """
@@ -96,6 +96,20 @@ def matched_trips(updates: DataFrame, trips: DataFrame, suffix: Column, active:
     return exact.withColumn("__suffix", suffix).join(running, F.col("__suffix") == F.col("suffix"), "left").withColumn("trip_id", F.coalesce("__exact", "__like")).drop("__exact", "__like", "__suffix", "suffix")
 
 
+def train_trips(trains: DataFrame, trips: DataFrame, active: DataFrame) -> DataFrame:
+    """``trains`` with the ``trip_id`` of the scheduled trip that each runs. [D44]
+
+    ``trains``: train_id, number, headsign, stop_ids, time; ``trips``: trip_id, number, service_id, headsign, stop_ids,
+    start_time. Of the running trips with the train's number the one that shares most stops, then whose headsign is
+    the same, then whose start is nearest in time, then of the least id.
+    """
+    own = trips.join(active.select("service_id").distinct(), "service_id", "left_semi").select("number", F.col("trip_id"), F.col("headsign").alias("__h"), F.col("stop_ids").alias("__s"), "start_time")
+    pairs = trains.join(own, "number")
+    order = F.struct(-F.size(F.array_intersect("stop_ids", "__s")), F.when(F.lower("headsign") == F.lower("__h"), 0).otherwise(1), F.abs(F.col("time") - F.col("start_time")), F.col("trip_id"))
+    best = pairs.groupBy("train_id").agg(F.min_by("trip_id", order).alias("trip_id"))
+    return trains.join(best, "train_id", "left")
+
+
 def keep_vanished(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The new rows, and those old ones whose key is gone. [U6, D24, T6]"""
     return new.unionByName(old.join(new.select(*keys).distinct(), keys, "left_anti"))
