@@ -82,22 +82,27 @@ def recent_positions(stream: DataFrame, key: str = "vehicle_id", keep: int = 5,
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, times array<long>, lons array<double>, lats array<double>", "times array<long>, lons array<double>, lats array<double>", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def with_grace(stream: DataFrame, keys: list[str], value: str, grace_ms: int = 60_000) -> DataFrame:
-    """keys, ``value`` and ``gone``: the latest value of a key, and once more with ``gone`` when none came for ``grace_ms``. [T6]"""
+def with_grace(stream: DataFrame, keys: list[str], value: str, order: str, grace_ms: int = 60_000) -> DataFrame:
+    """keys, ``value`` and ``gone``: the value of a key's greatest ``order``, and once more with ``gone`` when none came
+    for ``grace_ms``. A row that comes late doesn't replace a newer one. [T6]"""
 
     def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             last = state.get[0]
             state.remove()
         else:
-            last = str(pd.concat(list(frames))[value].iloc[-1])
-            state.update((last,))
+            last, at = state.get if state.exists else (None, None)
+            for frame in frames:
+                top = frame.loc[frame[order].idxmax()]
+                if at is None or top[order] >= at:
+                    last, at = str(top[value]), int(top[order])
+            state.update((last, at))
             state.setTimeoutDuration(grace_ms)
         yield pd.DataFrame({**{k: [v] for k, v in zip(keys, name, strict=True)}, value: [last], "gone": [not state.exists]})
 
     kinds = dict(stream.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{value} string", "gone boolean"])
-    return stream.groupBy(*keys).applyInPandasWithState(run, schema, f"{value} string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(*keys).applyInPandasWithState(run, schema, f"{value} string, at long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed(stream: DataFrame, at: str, size: str, slide: str | None = None, late: str = "10 minutes", keys: tuple[str, ...] = ()) -> DataFrame:
