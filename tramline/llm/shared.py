@@ -14,10 +14,13 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Only where the session has no such setting (a local test) is a folder made and set here.
+    Only where a local session has no such setting (a test) is a folder made and set here.
     """
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tramline-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
