@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from tramline.llm.part_table import PartTable, gathered, slices
-from tramline.llm.shared import read_table
+from tramline.llm.shared import read_table, worker_state
 
 #: Entries that a worker keeps of each memo before it starts anew; bounds memory, not results.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 60_000
 
 
 class ByteBPE:
@@ -132,6 +132,8 @@ class ByteBPE:
         return out
 
     def _chunk(self, chunk: str) -> bytes:
+        if len(self._pieces) > MEMO_ENTRIES:
+            self._pieces.clear()
         found = []
         for piece in self.split(chunk):
             if (ids := self._pieces.get(piece)) is None:
@@ -146,7 +148,7 @@ class ByteBPE:
         spaces is encoded once and remembered."""
         parts = self._border.split(text) if self._odd.search(text) else text.split(" ")
         first, later = self._first, self._later
-        for memo in (first, later, self._pieces):
+        for memo in (first, later):
             if len(memo) > MEMO_ENTRIES:
                 memo.clear()
         if (head := first.get(parts[0])) is None:
@@ -200,14 +202,9 @@ def _borders(data: np.ndarray, ends: np.ndarray, borders: np.ndarray) -> tuple[m
     return memoryview(data), np.append(0, ends)[borders]
 
 
-_LOADED: dict[tuple[str, str], ByteBPE] = {}
-
-
 def loaded(path: str, pattern: str) -> ByteBPE:
     """The worker's encoder for a vocabulary; built once for each Python worker."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBPE.from_file(path, pattern)
-    return _LOADED[path, pattern]
+    return worker_state(("bpe", path, pattern), lambda: ByteBPE.from_file(path, pattern))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:

@@ -19,7 +19,6 @@ SAMPLE_ROWS = 20_000
 #: Hashed features that a model keeps at most, by information gain on the sample; and in how many rows one must be.
 FEATURES = 4_096
 MIN_ROWS = 5
-MEMO_ENTRIES = 500_000
 
 
 @dataclass

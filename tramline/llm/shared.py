@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -48,6 +53,19 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_STATE: dict = {}
+
+
+def worker_state(key: object, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task under ``key``. Only the last key's is kept: workers outlive stages, and
+    what an operator has remembered must not take the memory of the next one."""
+    if key not in _STATE:
+        _STATE.clear()
+        pa.default_memory_pool().release_unused()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 

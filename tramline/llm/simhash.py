@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm.graph import connected_components
-from tramline.llm.shared import materialise, read_table
+from tramline.llm.shared import materialise, read_table, worker_state
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -110,6 +110,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """``id_col`` and ``fp`` (the fingerprint's 64 bits as long) of every row; map-only, over Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("simhash", dict)  # nothing to keep; gives back what the operator before has kept
         for batch in batches:
             prints = [_signed(fingerprint(t, words)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], [id_col, "fp"])

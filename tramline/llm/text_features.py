@@ -8,10 +8,11 @@ from collections import Counter
 
 import numpy as np
 
+from tramline.llm.shared import worker_state
+
 BUCKETS = 1 << 22
 _EDGES = ".,;:!?\"'()[]{}<>#$%&*|-_«»“”‘’¿¡"
-_MEMO: dict[str, tuple[int, ...]] = {}
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 300_000
 
 #: Class of each code point below 65536: 1 upper, 2 lower or other letter, 3 digit, 4 blank, 5 line end, 6 other.
 _CLASS = np.fromiter(((1 if c.isupper() else 2 if c.isalpha() else 3 if c.isdigit() else 5 if c == "\n" else 4 if c.isspace() else 6) for c in map(chr, range(1 << 16))), np.uint8, 1 << 16)
@@ -31,15 +32,16 @@ def _of_word(word: str, prefix: int) -> tuple[int, ...]:
 def word_buckets(text: str, prefix: int = 5) -> set[int]:
     """Of the distinct lower-cased words, without marks at their edges, and of their first ``prefix`` letters."""
     words = set(text.lower().split())
-    if len(_MEMO) > MEMO_ENTRIES:
-        _MEMO.clear()
+    memo: dict[str, tuple[int, ...]] = worker_state("words", dict)
+    if len(memo) > MEMO_ENTRIES:
+        memo.clear()
     out: set[int] = set()
     for word in words:
-        known = _MEMO.get(word)
+        known = memo.get(word)
         if known is None:
             known = _of_word(word, prefix)
             if len(word) < 60:
-                _MEMO[word] = known
+                memo[word] = known
         out.update(known)
     return out
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tramline.llm.part_table import PartTable, slices
-from tramline.llm.shared import fresh_path, read_table
+from tramline.llm.shared import fresh_path, read_table, worker_state
 
 MAGIC = b"TRLTOK01"
 #: Characters of text that a shard is planned for, and shards at most; beyond them shards grow with the input.
@@ -224,15 +224,9 @@ class ChunkEncoder:
         return [known[own[0]] if len(own) == 1 else b"".join([known[x] for x in own]) for own in pieces]
 
 
-_LOADED: dict[tuple, ChunkEncoder] = {}
-
-
 def loaded(*settings) -> ChunkEncoder:
-    """The worker's encoder, with what it remembers from task to task; one setting at a time."""
-    if settings not in _LOADED:
-        _LOADED.clear()
-        _LOADED[settings] = ChunkEncoder(*settings)
-    return _LOADED[settings]
+    """The worker's encoder, with what it remembers from task to task."""
+    return worker_state(("tokens", *settings), lambda: ChunkEncoder(*settings))
 
 
 def write_shards(docs: DataFrame, tokenizer: str, out: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_chars: int = SHARD_CHARS, encode_special_tokens: bool = True) -> list[dict]:
