@@ -123,8 +123,9 @@ def title_case(text: Column) -> Column:
 def station_number(text: Column) -> Column:
     """The number of a Swiss station from its 'ch:1:sloid:7000', UIC '8507000' or plain form; null if there is none. [F35]"""
     sloid = F.regexp_extract(text, r"^ch:1:sloid:([0-9]+)", 1)
-    plain = F.regexp_extract(text, r"^(?:85)?0*([1-9][0-9]{0,4})(?::.*)?$", 1)
-    return F.when(sloid != "", sloid.cast("int")).when(plain != "", plain.cast("int"))
+    uic = F.regexp_extract(text, r"^85([0-9]{5})(?::.*)?$", 1)
+    plain = F.regexp_extract(text, r"^0*([1-9][0-9]{0,4})(?::.*)?$", 1)
+    return F.when(sloid != "", sloid.cast("int")).when(uic != "", uic.cast("int")).when(plain != "", plain.cast("int"))
 
 
 def language_of(text: Column) -> Column:
