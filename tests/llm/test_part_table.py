@@ -7,7 +7,7 @@ import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer
 
-from tramline.llm import part_table
+from tramline.llm import part_table, token_store
 from tramline.llm.byte_bpe import ByteBPE
 from tramline.llm.token_store import ChunkEncoder
 
@@ -20,7 +20,8 @@ def made(count, seed=1):
 
 
 def test_made_up_texts_have_the_ids_of_both_libraries(monkeypatch):
-    monkeypatch.setattr(part_table, "MEMO_ENTRIES", 1000)
+    for module in (part_table, token_store):
+        monkeypatch.setattr(module, "MEMO_ENTRIES", 1000)
     monkeypatch.setattr(part_table, "CHUNK", 700)
     path, ranked = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     library, store = Tokenizer.from_file(path), ChunkEncoder(path, 0)

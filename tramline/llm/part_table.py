@@ -54,8 +54,8 @@ class PartTable:
     """Ids of parts of text in one arena, found by open addressing. A key is two 64-bit numbers of a part's bytes, zeros
     and its length. ``encode`` gives the packed ids of each of some parts; ``end`` those at the end of every text."""
 
-    def __init__(self, dtype: str, end: bytes, encode: Callable[[list[bytes]], list[bytes]]):
-        self.dtype, self.end, self.encode = np.dtype(dtype), end, encode
+    def __init__(self, dtype: str, end: bytes, encode: Callable[[list[bytes]], list[bytes]], entries: int | None = None):
+        self.dtype, self.end, self.encode, self.most = np.dtype(dtype), end, encode, entries or MEMO_ENTRIES
         self.clear()
 
     def clear(self) -> None:
@@ -125,7 +125,7 @@ class PartTable:
         cuts = (source == 32) | (source == 10)
         cuts[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(cuts)
-        if self.size > MEMO_ENTRIES:
+        if self.size > self.most:
             self.clear()
         stops = np.append(starts[1:], len(source))
         entries = np.concatenate([self._entries(source, starts[i : i + CHUNK], stops[i : i + CHUNK]) for i in range(0, max(1, len(starts)), CHUNK)])

@@ -29,6 +29,8 @@ from tramline.llm.shared import fresh_path, read_table, worker_state
 MAGIC = b"TRLTOK01"
 #: Characters of text that a shard is planned for, and shards at most; beyond them shards grow with the input.
 SHARD_CHARS, MAX_SHARDS = 8_000_000, 10_000
+#: Parts of text whose ids a worker keeps; nothing else of its size runs beside it, as in the pipeline's BPE.
+MEMO_ENTRIES = 1_500_000
 _SAMPLE = 256
 _FOOTER = struct.Struct("<8sBQQQqQQQ")  # magic, id width, documents, nulls, ids, least id, lengths of the three sections
 
@@ -192,7 +194,7 @@ class ChunkEncoder:
         self.letters = _byte_letters()
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.odd = regex.compile(r"\s\s|\s\Z").search
-        self.table = PartTable(f"<u{self.width}", self.end, self._ids)
+        self.table = PartTable(f"<u{self.width}", self.end, self._ids, MEMO_ENTRIES)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.encode_array(pa.array(texts, pa.string())).to_pylist()
