@@ -59,14 +59,15 @@ def local_epoch(local: Column, zone: Column | str) -> Column:
 def twelve_to_twentyfour(text: Column) -> Column:
     """Times like '7:05 pm' inside a text in 24-hour form. [F3]
 
-    Each hour has its own replacement, so the whole text stays one SQL expression.
+    Each hour has its own replacement, so the whole text stays one SQL expression; texts without such a time skip them.
     """
+    given = text
     for hour in range(1, 13):
         for half, base in (("a", 0), ("p", 12)):
             to = f"{hour % 12 + base:02d}"
             text = F.regexp_replace(text, rf"(?i)(?<![0-9:])0?{hour}:([0-5][0-9]) ?{half}\.?m\b\.?", f"{to}:$1")
             text = F.regexp_replace(text, rf"(?i)(?<![0-9:])0?{hour} ?{half}\.?m\b\.?", f"{to}:00")
-    return text
+    return F.when(given.rlike(r"(?i)[0-9] ?[ap]\.?m\b"), text).otherwise(given)
 
 
 def iso_day(date: Column) -> Column:
