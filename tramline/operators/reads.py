@@ -105,9 +105,19 @@ def connection_reach(own: Column, other: Column) -> Column:
 def connections(base: DataFrame, others: DataFrame) -> DataFrame:
     """Each other stop with the nearest of the base stops that are near enough for both modes; a base stop is its own,
     else the least id of equals. [D17, J15] ``base``: stop_id, lon, lat, route_type; ``others``: other_id, r_lon, r_lat, r_type.
+
+    Stops of one position and mode have the same neighbours, so positions are matched, with the least id of each; an
+    other stop's own base stop, which goes before equals, is met by its id.
     """
-    pairs = radius_join(base, others, 400.0).where(F.col("metres") <= connection_reach(F.col("route_type"), F.col("r_type")))
-    return pairs.groupBy("other_id").agg(F.min(F.struct("metres", (F.col("stop_id") != F.col("other_id")).alias("far"), "stop_id")).alias("m")).select("other_id", "m.stop_id", "m.metres")
+    reach = connection_reach(F.col("route_type"), F.col("r_type"))
+    kinds = base.groupBy("lon", "lat", "route_type").agg(F.min("stop_id").alias("stop_id"))
+    asked = others.select("r_lon", "r_lat", "r_type").distinct()
+    near = radius_join(kinds, asked, 400.0).where(F.col("metres") <= reach)
+    best = near.groupBy("r_lon", "r_lat", F.coalesce("r_type", F.lit(-1)).alias("r_type")).agg(F.min(F.struct("metres", "stop_id")).alias("m"))
+    told = others.select("other_id", "r_lon", "r_lat", F.coalesce("r_type", F.lit(-1)).alias("r_type")).join(best.hint("merge"), ["r_lon", "r_lat", "r_type"]).select("other_id", "m.*")
+    itself = others.join(base.hint("merge"), F.col("other_id") == F.col("stop_id")).withColumn("metres", haversine(F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat"))).where(F.col("metres") <= reach)
+    found = told.unionByName(itself.select("other_id", "metres", "stop_id"))
+    return found.groupBy("other_id").agg(F.min(F.struct("metres", (F.col("stop_id") != F.col("other_id")).alias("far"), "stop_id")).alias("m")).select("other_id", "m.stop_id", "m.metres")
 
 
 def vehicles(positions: DataFrame, *, chateau: str | None = None, route_types: list[int] | None = None, gtfs_id: str | None = None, label: str | None = None) -> DataFrame:
