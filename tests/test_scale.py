@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 from test_operators import rows
 
-from tramline.operators import reads, spatial
+from tramline.operators import calendar, ranking, reads, realtime, spatial, timetable
+from tramline.plans import QUERIES
 
 
 def plan(df):
@@ -37,3 +38,9 @@ def test_radius_join_takes_distances_by_position(spark):
     found = spatial.radius_join(left, left.toDF("r_id", "r_lon", "r_lat"), 150)
     assert "Broadcast" not in plan(found) and found.columns == ["id", "lon", "lat", "r_id", "r_lon", "r_lat", "metres"]
     assert {(r.id, r.r_id) for r in found.collect()} == {(a, b) for a in range(120) for b in range(120) if abs(a % 3 - b % 3) <= 1}
+def test_ip_ranges_end_at_the_last_address(spark, tmp_path):
+    spark.createDataFrame([(7,), (25,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1,), (42_949,), (42_950,), (42_951,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert rows(QUERIES["ip_location"](spark, str(tmp_path))) == []  # past 2^32 addresses don't begin at 0 again
+    spark.createDataFrame([((1 << 32) // 7919,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"), mode="overwrite")
+    assert rows(QUERIES["ip_location"](spark, str(tmp_path))) == [((1 << 32) // 7919 * 7919, 42_949)]  # a range across the end

@@ -13,7 +13,7 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
     with a residual condition; choose the width near the usual range's.
     """
     wide = ranges.where(F.col(low) <= F.col(high)).withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / width).cast("long"), F.floor(F.col(high) / width).cast("long"))))
-    return points.withColumn("__b", F.floor(F.col(value) / width).cast("long")).join(wide, "__b").where(F.col(value).between(F.col(low), F.col(high))).drop("__b")
+    return points.withColumn("__b", F.floor(F.col(value) / width).cast("long")).join(wide.hint("merge"), "__b").where(F.col(value).between(F.col(low), F.col(high))).drop("__b")
 
 
 def ip_number(ip: Column) -> Column:

@@ -181,7 +181,8 @@ def ip_location(t: Tables):
     dotted = lambda n: F.concat_ws(".", *[F.floor(n / 256**i) % 256 for i in (3, 2, 1, 0)])
     asked = t.customer.select(dotted((F.col("c_custkey") * 7919) % (1 << 32)).alias("ip"))
     key = F.col("s_suppkey") * 100_000
-    ranges = t.supplier.select(F.col("s_suppkey").alias("city"), dotted(key).alias("ip_range_start"), dotted(key + 70_000).alias("ip_range_end"))
+    last = F.lit((1 << 32) - 1)  # the highest address: ranges past it hold none, one across it ends there
+    ranges = t.supplier.where(key <= last).select(F.col("s_suppkey").alias("city"), dotted(key).alias("ip_range_start"), dotted(F.least(key + 70_000, last)).alias("ip_range_end"))
     return joins.located_ips(asked, ranges).select(joins.ip_number(F.col("ip")).alias("ip"), "city")
 
 
