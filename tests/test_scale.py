@@ -59,3 +59,10 @@ def test_train_trips_pair_by_stop_or_by_start(spark):
     trips = spark.createDataFrame([(1, 5, "s", "y", [9, 8], 900), (2, 5, "s", "X", [8], 100), (3, 5, "s", "X", [7], 200), (4, 5, "s", "x", [7], 0), (5, 5, "s", "y", [7], 110), (6, 5, "s", "w", [7], 90), (7, 5, "off", "x", [1], 100)], "trip_id long, number int, service_id string, headsign string, stop_ids array<int>, start_time int")
     found = realtime.train_trips(trains, trips, spark.createDataFrame([("s",)], "service_id string"))
     assert rows(found.select("train_id", "trip_id").na.fill(-1)) == [(1, 1), (2, 2), (3, 2), (4, -1), (5, 6), (6, 1)]
+def test_viewports_meet_by_cells_of_their_size(spark):
+    points = spark.range(400).select("id", (F.col("id") % 20 * 0.01).alias("lon"), (F.floor(F.col("id") / 20) * 0.01).alias("lat"), (F.col("id") % 2).alias("kind"))
+    views = spark.createDataFrame([(1, 0.005, 0.005, 0.035, 0.035, 0), (2, -50.0, -50.0, 50.0, 50.0, 1), (3, 179.0, -1.0, 0.02, 0.0, 1), (4, 0.03, 0.03, 0.03, 0.03, 1)], "view_id int, west double, south double, east double, north double, kind long")
+    found = reads.in_viewport(points, views, on=("kind",))
+    near = points.crossJoin(views.withColumnRenamed("kind", "k")).where("kind = k AND lat BETWEEN south AND north AND (lon BETWEEN west AND east OR west > east AND (lon >= west OR lon <= east))")
+    assert rows(found.select("id", "view_id")) == rows(near.select("id", "view_id")) and found.count() > 200
+    assert all(k in plan(found) for k in ("SortMergeJoin", "kind"))

@@ -156,19 +156,26 @@ def route_realtime(route_ids: DataFrame, positions: DataFrame, updates: DataFram
     return out.na.fill(0)
 
 
-def in_viewport(points: DataFrame, views: DataFrame, cell: float = 0.25) -> DataFrame:
+def in_viewport(points: DataFrame, views: DataFrame, cell: float = 0.0625, on: tuple[str, ...] = ()) -> DataFrame:
     """``points`` (lon, lat) with ``view_id`` of each view whose box (west, south, east, north) holds them. [J18, D26, D29]
 
-    Both meet by cells of ``cell`` degrees, so many views are an equality join; a box over the date line (west > east) is
-    two boxes.
+    Both meet by cells, so many views are an equality join, and by the columns ``on`` that both have. A box has cells of
+    about a fourth of its longer side: ``cell`` degrees, doubled or halved; points have one for each size in use. A box
+    over the date line (west > east) is two boxes.
     """
-    at = lambda c: F.floor(c / cell).cast("int")
+    step = F.lit(cell) * F.pow(F.lit(2.0), F.col("__z"))
+    at = lambda c: F.floor(c / step).cast("int")
     whole = F.struct("west", "south", "east", "north")
     halves = F.array(F.struct("west", "south", F.lit(180.0).alias("east"), "north"), F.struct(F.lit(-180.0).alias("west"), "south", "east", "north"))
-    boxes = views.select("view_id", F.explode(F.when(F.col("west") > F.col("east"), halves).otherwise(F.array(whole))).alias("b")).select("view_id", "b.*")
+    boxes = views.select("view_id", *on, F.explode(F.when(F.col("west") > F.col("east"), halves).otherwise(F.array(whole))).alias("b")).select("view_id", *on, "b.*")
+    longest = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"), F.lit(1e-4))
+    boxes = boxes.where("west <= east AND south <= north").withColumn("__z", F.ceil(F.log2(longest / (4 * cell))).cast("int"))
     cells = boxes.withColumn("__x", F.explode(F.sequence(at(F.col("west")), at(F.col("east"))))).withColumn("__y", F.explode(F.sequence(at(F.col("south")), at(F.col("north")))))
-    placed = points.withColumn("__x", at(F.col("lon"))).withColumn("__y", at(F.col("lat")))
-    return placed.join(cells, ["__x", "__y"]).where("lon BETWEEN west AND east AND lat BETWEEN south AND north").drop("__x", "__y", "west", "south", "east", "north")
+    sizes = boxes.select("__z").distinct()  # a few rows, whatever the boxes
+    placed = points.crossJoin(F.broadcast(sizes)).withColumn("__x", at(F.col("lon"))).withColumn("__y", at(F.col("lat")))
+    keys = [*on, "__z", "__x", "__y"]
+    found = placed.join(cells.hint("merge"), keys).where("lon BETWEEN west AND east AND lat BETWEEN south AND north")
+    return found.select(*points.columns, *[c for c in cells.columns if c not in (*keys, "west", "south", "east", "north")])
 
 
 def touching(boxes: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
