@@ -48,6 +48,8 @@ def test_operation_date_rounds_to_seconds(spark):
     seen = spark.sql("SELECT timestamp_ntz'2024-01-05 00:00:09.7' AS ts, 7210 AS s UNION ALL SELECT timestamp_ntz'2024-01-05 00:00:09.4', 7210")
     got = sorted(str(r.d) for r in seen.select(realtime.operation_date(F.col("ts"), F.col("s")).alias("d")).collect())
     assert got == ["2024-01-04", "2024-01-05"]
+
+
 def test_service_days_meet_events_unmultiplied(spark):
     events = spark.createDataFrame([(1, "a", "2024-01-10"), (2, "a", "2024-02-20"), (3, "b", "2024-01-01"), (4, "c", "2024-01-01")], "event_id int, service_id string, observed string").withColumn("observed", F.to_date("observed"))
     days = spark.createDataFrame([("a", "2024-01-08"), ("a", "2024-01-12"), ("a", "2024-02-10"), ("b", "2024-01-11")], "service_id string, date string").withColumn("date", F.to_date("date"))
@@ -66,3 +68,11 @@ def test_viewports_meet_by_cells_of_their_size(spark):
     near = points.crossJoin(views.withColumnRenamed("kind", "k")).where("kind = k AND lat BETWEEN south AND north AND (lon BETWEEN west AND east OR west > east AND (lon >= west OR lon <= east))")
     assert rows(found.select("id", "view_id")) == rows(near.select("id", "view_id")) and found.count() > 200
     assert all(k in plan(found) for k in ("SortMergeJoin", "kind"))
+def test_days_and_starts_are_not_hashed_one_by_one(spark):
+    own = spark.createDataFrame([("a", 127, "2024-01-01", "2024-01-03"), ("a", 127, "2024-01-02", "2024-01-04"), ("n", None, "2024-01-01", "2024-01-02")], "service_id string, mask int, start_date string, end_date string").withColumns({c: F.to_date(c) for c in ("start_date", "end_date")})
+    special = spark.createDataFrame([("a", "2024-01-03", 2), ("a", "2024-01-03", 1), ("a", "2024-01-09", 1), ("b", "2024-01-05", 1), ("b", "2024-01-06", 3)], "service_id string, date string, exception_type int").withColumn("date", F.to_date("date"))
+    days = calendar.service_days(own, special)
+    assert [(r.service_id, r.date.day) for r in days.orderBy("service_id", "date").collect()] == [("a", 1), ("a", 2), ("a", 4), ("a", 9), ("b", 5)]
+    assert plan(days).count("Exchange") == 1 and plan(days).index("Generate") < plan(days).index("Exchange")  # days come after the shuffle
+    starts = timetable.expand_frequencies(spark.createDataFrame([("t", 0, 100, 50), ("t", 50, 101, 50), ("u", 5, 5, 1)], "trip_id string, start_time long, end_time long, headway_secs long"))
+    assert rows(starts) == [("t", 0), ("t", 50), ("t", 100)] and plan(starts).index("Generate") < plan(starts).index("Exchange")

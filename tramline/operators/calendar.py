@@ -20,13 +20,16 @@ def service_days(calendar: DataFrame, exceptions: DataFrame, keys: tuple[str, ..
 
     ``calendar``: keys, mask (weekday bits), start_date, end_date; ``exceptions``: keys, date, exception_type (1 adds,
     2 removes and wins over 1; other types are ignored). Either side may lack a service; a null mask or date runs on no
-    day. Each calendar row is expanded by itself; the exceptions are met in one shuffle, as groups of few rows.
+    day. A service's calendar rows and exceptions meet as they are and become days only there, so days are neither
+    moved nor hashed.
     """
-    day = F.explode(F.sequence("start_date", "end_date")).alias("date")
-    usual = calendar.where("start_date <= end_date AND mask > 0").select(*keys, "mask", day)
-    usual = usual.where(F.expr("(shiftright(mask, weekday(date)) & 1) = 1")).select(*keys, "date", F.lit(0).alias("kind"))
-    special = exceptions.where("exception_type IN (1, 2) AND date IS NOT NULL").select(*keys, "date", F.col("exception_type").cast("int").alias("kind"))
-    return usual.unionByName(special).groupBy(*keys, "date").agg(F.max("kind").alias("kind")).where("kind < 2").drop("kind")
+    usual = calendar.where("start_date <= end_date AND mask > 0").select(*keys, F.lit(0).alias("kind"), F.col("mask").cast("long").alias("mask"), F.col("start_date").cast("date").alias("a"), F.col("end_date").cast("date").alias("b"))
+    special = exceptions.where("exception_type IN (1, 2) AND date IS NOT NULL").select(*keys, F.col("exception_type").cast("int").alias("kind"), F.lit(0).cast("long").alias("mask"), F.col("date").cast("date").alias("a"), F.col("date").cast("date").alias("b"))
+    rows = usual.unionByName(special).groupBy(*keys).agg(F.collect_set(F.struct("kind", "mask", "a", "b")).alias("__rows"))
+    of = lambda kind: F.filter("__rows", lambda r: r["kind"] == kind)
+    runs = F.flatten(F.transform(of(0), lambda r: F.filter(F.sequence(r["a"], r["b"]), lambda d: F.pmod(F.floor(r["mask"] / F.pow(F.lit(2.0), F.weekday(d))), F.lit(2)) == 1)))
+    dates = lambda kind: F.transform(of(kind), lambda r: r["a"])
+    return rows.select(*keys, F.explode(F.array_except(F.concat(runs, dates(1)), dates(2))).alias("date"))
 
 
 def is_active(date: Column, mask: Column, start: Column, end: Column, added: Column, removed: Column) -> Column:
