@@ -41,7 +41,9 @@ def decompress(trips: DataFrame, itineraries: DataFrame, days: DataFrame) -> Dat
 def expand_frequencies(frequencies: DataFrame) -> DataFrame:
     """trip_id and each distinct start_time of [start_time, end_time) by headway_secs; headways below 1 are none. [D5]"""
     runs = frequencies.where("headway_secs > 0 AND start_time < end_time")
-    return runs.select("trip_id", F.explode(F.sequence("start_time", F.col("end_time") - 1, "headway_secs")).alias("start_time")).distinct()
+    of_trip = runs.groupBy("trip_id").agg(F.collect_set(F.struct("start_time", "end_time", "headway_secs")).alias("__runs"))
+    starts = F.transform("__runs", lambda r: F.sequence(r["start_time"], r["end_time"] - 1, r["headway_secs"]))
+    return of_trip.select("trip_id", F.explode(F.array_distinct(F.flatten(starts))).alias("start_time"))
 
 
 def interpolate(stop_times: DataFrame, trip: str = "trip_id", order: str = "stop_sequence", time: str = "time", step: str = "n") -> DataFrame:
