@@ -38,12 +38,16 @@ def test_radius_join_takes_distances_by_position(spark):
     found = spatial.radius_join(left, left.toDF("r_id", "r_lon", "r_lat"), 150)
     assert "Broadcast" not in plan(found) and found.columns == ["id", "lon", "lat", "r_id", "r_lon", "r_lat", "metres"]
     assert {(r.id, r.r_id) for r in found.collect()} == {(a, b) for a in range(120) for b in range(120) if abs(a % 3 - b % 3) <= 1}
+
+
 def test_ip_ranges_end_at_the_last_address(spark, tmp_path):
     spark.createDataFrame([(7,), (25,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
     spark.createDataFrame([(1,), (42_949,), (42_950,), (42_951,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
     assert rows(QUERIES["ip_location"](spark, str(tmp_path))) == []  # past 2^32 addresses don't begin at 0 again
     spark.createDataFrame([((1 << 32) // 7919,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"), mode="overwrite")
     assert rows(QUERIES["ip_location"](spark, str(tmp_path))) == [((1 << 32) // 7919 * 7919, 42_949)]  # a range across the end
+
+
 def test_operation_date_rounds_to_seconds(spark):
     seen = spark.sql("SELECT timestamp_ntz'2024-01-05 00:00:09.7' AS ts, 7210 AS s UNION ALL SELECT timestamp_ntz'2024-01-05 00:00:09.4', 7210")
     got = sorted(str(r.d) for r in seen.select(realtime.operation_date(F.col("ts"), F.col("s")).alias("d")).collect())
@@ -56,11 +60,15 @@ def test_service_days_meet_events_unmultiplied(spark):
     found = realtime.nearest_service_date(events, days)
     assert "Generate" not in plan(found) and "Broadcast" not in plan(found)
     assert [(r.event_id, str(r.date)) for r in found.orderBy("event_id").collect()] == [(1, "2024-01-08"), (2, "2024-02-10")]
+
+
 def test_train_trips_pair_by_stop_or_by_start(spark):
     trains = spark.createDataFrame([(1, 5, "X", [9, 8], 100), (2, 5, "x", [1], 100), (3, 5, "Z", [1], 100), (4, 6, "x", [1], 100), (5, 5, None, [1], 90), (6, 5, "q", [8], None)], "train_id long, number int, headsign string, stop_ids array<int>, time int")
     trips = spark.createDataFrame([(1, 5, "s", "y", [9, 8], 900), (2, 5, "s", "X", [8], 100), (3, 5, "s", "X", [7], 200), (4, 5, "s", "x", [7], 0), (5, 5, "s", "y", [7], 110), (6, 5, "s", "w", [7], 90), (7, 5, "off", "x", [1], 100)], "trip_id long, number int, service_id string, headsign string, stop_ids array<int>, start_time int")
     found = realtime.train_trips(trains, trips, spark.createDataFrame([("s",)], "service_id string"))
     assert rows(found.select("train_id", "trip_id").na.fill(-1)) == [(1, 1), (2, 2), (3, 2), (4, -1), (5, 6), (6, 1)]
+
+
 def test_viewports_meet_by_cells_of_their_size(spark):
     points = spark.range(400).select("id", (F.col("id") % 20 * 0.01).alias("lon"), (F.floor(F.col("id") / 20) * 0.01).alias("lat"), (F.col("id") % 2).alias("kind"))
     views = spark.createDataFrame([(1, 0.005, 0.005, 0.035, 0.035, 0), (2, -50.0, -50.0, 50.0, 50.0, 1), (3, 179.0, -1.0, 0.02, 0.0, 1), (4, 0.03, 0.03, 0.03, 0.03, 1)], "view_id int, west double, south double, east double, north double, kind long")
@@ -68,6 +76,8 @@ def test_viewports_meet_by_cells_of_their_size(spark):
     near = points.crossJoin(views.withColumnRenamed("kind", "k")).where("kind = k AND lat BETWEEN south AND north AND (lon BETWEEN west AND east OR west > east AND (lon >= west OR lon <= east))")
     assert rows(found.select("id", "view_id")) == rows(near.select("id", "view_id")) and found.count() > 200
     assert all(k in plan(found) for k in ("SortMergeJoin", "kind"))
+
+
 def test_days_and_starts_are_not_hashed_one_by_one(spark):
     own = spark.createDataFrame([("a", 127, "2024-01-01", "2024-01-03"), ("a", 127, "2024-01-02", "2024-01-04"), ("n", None, "2024-01-01", "2024-01-02")], "service_id string, mask int, start_date string, end_date string").withColumns({c: F.to_date(c) for c in ("start_date", "end_date")})
     special = spark.createDataFrame([("a", "2024-01-03", 2), ("a", "2024-01-03", 1), ("a", "2024-01-09", 1), ("b", "2024-01-05", 1), ("b", "2024-01-06", 3)], "service_id string, date string, exception_type int").withColumn("date", F.to_date("date"))
@@ -76,3 +86,10 @@ def test_days_and_starts_are_not_hashed_one_by_one(spark):
     assert plan(days).count("Exchange") == 1 and plan(days).index("Generate") < plan(days).index("Exchange")  # days come after the shuffle
     starts = timetable.expand_frequencies(spark.createDataFrame([("t", 0, 100, 50), ("t", 50, 101, 50), ("u", 5, 5, 1)], "trip_id string, start_time long, end_time long, headway_secs long"))
     assert rows(starts) == [("t", 0), ("t", 50), ("t", 100)] and plan(starts).index("Generate") < plan(starts).index("Exchange")
+
+
+def test_ranks_are_counted_on_written_scores(spark):
+    df = spark.range(200).select("id", (F.col("id") % 7).cast("double").alias("score"), (F.col("id") % 2 == 0).alias("is_rail"))
+    found = ranking.ranked(df, ["is_rail"], [F.col("score"), F.col("id")])
+    assert "percentile_approx" not in plan(found)  # taken once, not again in each branch
+    assert sorted(r.position for r in found.where("is_rail").collect()) == list(range(1, 101))

@@ -66,8 +66,12 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], parts: int = 6
     Groups are few and may hold most rows, so rows are spread over ``parts`` ranges of the first ordering column:
     positions in a range by a window, plus the counts of the ranges before it.
     """
-    first = order[0]
+    from tramline.operators.components import checkpointed
+
+    # scores and cuts are written once: their sums and sketches may differ in the last digit when they are taken again
+    first, df = order[0], checkpointed(df)
     cuts = df.groupBy(*groups).agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 1000).alias("__cuts"))
+    cuts = checkpointed(cuts)
     placed = df.join(cuts, groups).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < first))).drop("__cuts")
     counts = placed.groupBy(*groups, "__part").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("__n").over(Window.partitionBy(*groups)))
