@@ -48,6 +48,13 @@ def test_header_gate(run):
     assert [sorted({r[1] for r in b}) for b in got] == [[1], [3], [4]] and len(got[1]) == 2
 
 
+def test_header_gate_knows_kinds_that_are_numbers(run):
+    schema = "feed_id long, fetched_ms long, kind int, header_ts long"
+    batches = [[(1, 2, 2, 6), (1, 1, 1, 10), (1, 1, 2, 5), (1, 2, 1, 10), (1, 3, 1, 10), (1, 3, 2, 6)], [(1, 4, 1, 10), (1, 4, 2, 6), (1, 5, 1, 0), (1, 5, 2, 6)]]
+    got = run(schema, batches, lambda s: S.header_gate(s))
+    assert got == [[(1, 1, 1, 10), (1, 1, 2, 5), (1, 2, 1, 10), (1, 2, 2, 6)], [(1, 5, 1, 0), (1, 5, 2, 6)]]
+
+
 def test_latest(run):
     got = run("k string, ts long, v string", [[("a", 1, "x"), ("a", 3, "z")], [("a", 2, "y")]], lambda s: S.latest(s, ["k"], "ts"), "update")
     assert got[-1] == [("a", 3, "z")]

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Rows that a function hands back at a time.
+PART_ROWS = 50_000
+
 
 def changed_only(stream: DataFrame, keys: list[str], content: str, order: str) -> DataFrame:
     """Rows whose ``content`` differs from the last one of their key; state is one hash a key. [T1, T7]"""
@@ -28,24 +32,34 @@ def header_gate(stream: DataFrame, feed: str = "feed_id", poll: str = "fetched_m
     """All kinds of a poll if any of them is new. [T2]
 
     New: the header's time is null or 0, or isn't the last one saved for (feed, kind). Older but different times are new
-    too. The last time is saved even where nothing is new; feeds in ``always`` are always new.
+    too. The last time is saved even where nothing is new; feeds in ``always`` are always new. A batch's polls are told
+    apart by whole columns, with no frame for each.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         saved = dict(zip(*state.get, strict=True)) if state.exists else {}
-        out = []
-        for _, rows in pd.concat(list(frames)).groupby(poll, sort=True):
-            new = key[0] in always
-            for k, ts in zip(rows[kind], rows[header], strict=True):
-                ts = None if pd.isna(ts) else int(ts)
-                new = new or not ts or saved.get(k) != ts
-                if ts:
-                    saved[k] = ts
-            if new:
-                out.append(rows)
+        rows = pd.concat(list(frames), ignore_index=True)
+        polls = pd.factorize(rows[poll], sort=True, use_na_sentinel=False)[0]
+        order = np.argsort(polls, kind="stable")
+        rows, polls = rows.iloc[order], polls[order]
+        times = rows[header].astype("Int64")
+        times = times.mask(times == 0)
+        codes, kinds = pd.factorize(rows[kind], use_na_sentinel=False)
+        new = np.full(len(rows), key[0] in always)
+        for code, k in enumerate(kinds):
+            at, name = np.flatnonzero(codes == code), None if pd.isna(k) else str(k)
+            own = times.iloc[at]
+            known = own.ffill()
+            before = known.shift()
+            if name in saved:
+                before = before.fillna(saved[name])
+            new[at] |= (own != before).fillna(True).to_numpy(bool)
+            if not pd.isna(known.iloc[-1]):
+                saved[name] = int(known.iloc[-1])
         state.update((list(saved.keys()), list(saved.values())))
-        if out:
-            yield pd.concat(out)
+        passes = np.flatnonzero(np.bincount(polls, new)[polls] > 0)
+        for first in range(0, len(passes), PART_ROWS):
+            yield rows.iloc[passes[first : first + PART_ROWS]]
 
     return stream.groupBy(feed).applyInPandasWithState(run, stream.schema, "kinds array<string>, times array<long>", "append", GroupStateTimeout.NoTimeout)
 
