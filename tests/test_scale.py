@@ -1,10 +1,13 @@
 """Plans and results that must hold at any size: rows at one place, no exploded side sent to every task."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_operators import rows
 
-from tramline.operators import calendar, ranking, reads, realtime, spatial, timetable
+from tramline.functions.protobuf import packed
+from tramline.operators import calendar, ranking, reads, realtime, spatial, structure, timetable
 from tramline.plans import QUERIES
+from tramline.sources import realtime as realtime_source
 
 
 def plan(df):
@@ -93,3 +96,26 @@ def test_ranks_are_counted_on_written_scores(spark):
     found = ranking.ranked(df, ["is_rail"], [F.col("score"), F.col("id")])
     assert "percentile_approx" not in plan(found)  # taken once, not again in each branch
     assert sorted(r.position for r in found.where("is_rail").collect()) == list(range(1, 101))
+
+
+def test_entities_are_handed_on_in_parts(spark):
+    class Messages:
+        dtypes, select, mapInArrow = [("feed_id", "bigint")], lambda self, *_: self, lambda self, run, schema: run
+
+    run = realtime_source.entities(Messages(), "vehicle")
+    entity = lambda n: packed((1, f"v{n}"), (4, packed((5, n + 1))))
+    broken = packed((1, "x"), (4, b"\xff"))
+    bodies = [realtime_source.feed_bytes(1, [entity(n) for n in range(2_500)]), None, b"\xff", realtime_source.feed_bytes(1, [entity(7), broken, entity(8)]), realtime_source.feed_bytes(1, [entity(9)])]
+    out = list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(bodies, pa.binary())], ["feed_id", "body"])])))
+    assert max(b.num_rows for b in out) <= 1_000
+    assert [(r["feed_id"], r["entity_id"]) for b in out for r in b.to_pylist()] == [(0, f"v{n}") for n in range(2_500)] + [(3, "v7"), (4, "v9")]
+
+
+def test_lines_are_cut_once_for_each_pair_of_places(spark):
+    calls = spark.createDataFrame([(t, n, n * 0.2, 1.0, 100 * n, 100 * n, [1, None][t % 2]) for t in range(300) for n in (1, 2, 3)], "trip_id long, stop_sequence int, lon double, lat double, departure int, arrival int, shape_id int")
+    lines = spark.createDataFrame([(1, [(i * 0.1, 1.0) for i in range(9)])], "shape_id int, points array<struct<lon:double,lat:double>>")
+    legs, patterns = structure.trajectories(calls, lines)
+    assert "array_min" not in plan(legs) and "array_min" not in plan(patterns)
+    found = legs.join(patterns, "pattern_id").select("trip_id", "leg", "starts", "ends", F.size("points").alias("n")).collect()
+    assert sorted(map(tuple, found)) == [(t, n, 100 * n, 100 * n + 100, 2 if t % 2 else 3) for t in range(300) for n in (1, 2)]
+    assert patterns.count() == 4

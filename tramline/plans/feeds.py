@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tramline.functions.protobuf import packed
 from tramline.plans.registry import Tables, query
 from tramline.sources import realtime
 
 
-@F.udf(T.BinaryType(), useArrow=True)
 def _message(rows):
     """A feed with a vehicle, an update and an alert for each event."""
     out = []
@@ -25,9 +24,17 @@ def _message(rows):
     return realtime.feed_bytes(1_700_000_000 + len(rows), out)
 
 
+def _bodies(batches):
+    """Messages are made and handed on a few at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 50):
+            part = batch.slice(first, 50)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_message, part.column(1).to_pylist()), pa.binary())], ["feed_id", "body"])
+
+
 def _messages(t: Tables):
     rows = t.events.groupBy((F.col("event_id") % 100).alias("feed_id"), F.floor(F.col("event_id") / 2000).alias("n")).agg(F.collect_list(F.struct("event_id", "user_id")).alias("rows"))
-    return rows.select("feed_id", _message("rows").alias("body"))
+    return rows.select("feed_id", "rows").mapInArrow(_bodies, "feed_id long, body binary")
 
 
 @query("SELECT event_id % 100 AS feed_id, 1700000000 + count(*) AS header_ts FROM events GROUP BY 1, event_id // 2000")

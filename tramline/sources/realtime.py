@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +12,9 @@ from pyspark.sql import types as T
 
 from tramline.functions import protobuf as pb
 
+#: Entities read before they are handed on; a worker holds no more, however many its messages have.
+PART_ROWS = 1_000
+
 #: Names of enum values, by number; fixed values of the public specification.
 TRIP_STATUS = {0: "SCHEDULED", 1: "ADDED", 2: "UNSCHEDULED", 3: "CANCELED", 5: "REPLACEMENT", 6: "DUPLICATED", 7: "DELETED", 8: "NEW"}
 STOP_STATUS = {0: "SCHEDULED", 1: "SKIPPED", 2: "NO_DATA", 3: "UNSCHEDULED"}
@@ -81,20 +85,21 @@ def entities(messages: DataFrame, kind: str, *, body: str = "body", feed: str =
     schema = T.StructType.fromDDL(f"`{feed}` {own}, {ddl}") if isinstance(ddl, str) else ddl
     arrow = _arrow(schema)
 
+    def rows(name: object, data: bytes | None) -> Iterator[dict]:
+        try:
+            found = pb.message(data or b"")
+            header = pb.number(pb.inner(found, 1), 3)
+            for entity in map(pb.message, found.get(2, [])):
+                inside = pb.inner(entity, number)
+                if inside and not pb.number(entity, 2):
+                    yield {feed: name} | read(inside, pb.text(entity, 1), header)
+        except (ValueError, TypeError):
+            return
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    found = pb.message(data or b"")
-                    header = pb.number(pb.inner(found, 1), 3)
-                    for entity in map(pb.message, found.get(2, [])):
-                        inside = pb.inner(entity, number)
-                        if inside and not pb.number(entity, 2):
-                            rows.append({feed: name} | read(inside, pb.text(entity, 1), header))
-                except (ValueError, TypeError):
-                    continue
-            yield pa.RecordBatch.from_pylist(rows, arrow)
+        found = (row for batch in batches for name, data in zip(*batch.columns, strict=True) for row in rows(name.as_py(), data.as_py()))
+        while part := list(islice(found, PART_ROWS)):
+            yield pa.RecordBatch.from_pylist(part, arrow)
 
     return messages.select(feed, body).mapInArrow(run, schema)
 
