@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,6 +32,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: made once, and of a size that later joins know."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def settled(start: DataFrame, step: Callable[[DataFrame], DataFrame], done: Callable[[DataFrame], bool] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """``step`` applied until ``done`` (or until rows stop changing)."""
     now, mark = checkpointed(start), None

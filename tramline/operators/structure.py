@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.operators.components import components
+from tramline.operators.components import components, written
 from tramline.operators.spatial import radius_join
 
 
@@ -107,16 +107,17 @@ def trajectories(calls: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFra
 
     ``calls``: trip_id, stop_sequence, lon, lat, departure, arrival, shape_id; ``lines``: shape_id, points (lon, lat). A
     leg's line is the shape between the vertices nearest to its two stops, if the second comes after the first; else,
-    and without a shape, the straight line. Equal geometry is one pattern.
+    and without a shape, the straight line. Equal geometry is one pattern. Lines are cut once for each shape and pair of
+    places, and written; their trips then meet them.
     """
     ahead = Window.partitionBy("trip_id").orderBy("stop_sequence")
     legs = calls.select("trip_id", F.col("stop_sequence").alias("leg"), "shape_id", F.col("departure").alias("starts"), F.lead("arrival").over(ahead).alias("ends"), F.struct("lon", "lat").alias("a"), F.lead(F.struct("lon", "lat")).over(ahead).alias("b")).where("b IS NOT NULL")
-    joined = legs.join(lines, "shape_id", "left")
     nearest = lambda p: F.expr(f"array_min(transform(points, (v, i) -> named_struct('d', pow(v.lon - {p}.lon, 2) + pow(v.lat - {p}.lat, 2), 'i', i))).i")
-    cut = joined.withColumn("i", nearest("a")).withColumn("j", nearest("b"))
+    cut = legs.select("shape_id", "a", "b").distinct().join(lines, "shape_id", "left").withColumn("i", nearest("a")).withColumn("j", nearest("b"))
     line = F.when(F.col("j") > F.col("i"), F.expr("slice(points, i + 1, j - i + 1)")).otherwise(F.array("a", "b"))
-    made = cut.withColumn("points", line).withColumn("pattern_id", F.sha2(F.to_json("points"), 256))
-    return made.select("trip_id", "leg", "pattern_id", "starts", "ends"), made.groupBy("pattern_id").agg(F.any_value("points").alias("points"))
+    made = written(cut.select(F.struct("shape_id", "a", "b").alias("__way"), line.alias("points")).withColumn("pattern_id", F.sha2(F.to_json("points"), 256)))
+    instances = legs.withColumn("__of", F.struct("shape_id", "a", "b")).join(made.select("__way", "pattern_id"), F.col("__of").eqNullSafe(F.col("__way")))
+    return instances.select("trip_id", "leg", "pattern_id", "starts", "ends"), made.groupBy("pattern_id").agg(F.any_value("points").alias("points"))
 
 
 def shards(units: DataFrame, workers: DataFrame) -> DataFrame:
