@@ -15,10 +15,11 @@ def terminal_routes(ends: DataFrame, station: str = "stop_id") -> DataFrame:
     return ends.groupBy(station).agg(F.count_distinct("chateau", "route_id").alias("n_terminal_routes"))
 
 
-def degree(neighbours: DataFrame, station: str = "stop_id", fallback: str | None = None) -> DataFrame:
-    """Distinct neighbours of a station, a neighbour without a station counting by its own id. [A4]"""
+def degree(neighbours: DataFrame, station: str = "stop_id", fallback: str | None = None, distinct: bool = False) -> DataFrame:
+    """Distinct neighbours of a station, a neighbour without a station counting by its own id. [A4] ``distinct``: the rows
+    are so already, and only counted."""
     other = F.coalesce("neighbour", F.col(fallback)) if fallback else F.col("neighbour")
-    return neighbours.groupBy(station).agg(F.count_distinct(other).alias("degree"))
+    return neighbours.groupBy(station).agg((F.count if distinct else F.count_distinct)(other).alias("degree"))
 
 
 def route_span(lengths: DataFrame, station: str = "stop_id", km: str = "length_km") -> DataFrame:

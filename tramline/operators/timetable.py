@@ -70,11 +70,12 @@ def ends(stop_times: DataFrame, trip: str = "trip_id", order: str = "stop_sequen
 
 
 def neighbours(stop_times: DataFrame, trip: str = "trip_id", order: str = "stop_sequence", stop: str = "stop_id") -> DataFrame:
-    """``stop`` and each distinct other stop next to it on some trip. [W1, J7]"""
+    """``stop`` and each distinct other stop next to it on some trip. [W1, J7] Pairs are told apart without their
+    direction, which halves what is hashed and moved, and turned round afterwards."""
     window = Window.partitionBy(trip).orderBy(order)
-    near = stop_times.select(stop, F.array(F.lag(stop).over(window), F.lead(stop).over(window)).alias("near"))
-    pairs = near.select(stop, F.explode("near").alias("neighbour")).where(F.col("neighbour").isNotNull() & (F.col("neighbour") != F.col(stop)))
-    return pairs.distinct()
+    steps = stop_times.select(F.col(stop).alias("__a"), F.lead(stop).over(window).alias("__b")).where("__a <> __b")
+    pairs = steps.select(F.least("__a", "__b").alias("__a"), F.greatest("__a", "__b").alias("__b")).distinct()
+    return pairs.select(F.explode(F.array(F.struct(F.col("__a").alias(stop), F.col("__b").alias("neighbour")), F.struct(F.col("__b").alias(stop), F.col("__a").alias("neighbour")))).alias("p")).select("p.*")
 
 
 def terminals(stop_times: DataFrame, trip: str = "trip_id", order: str = "stop_sequence") -> DataFrame:

@@ -25,7 +25,7 @@ def _station_features(t: Tables):
     ends = timetable.terminals(calls).join(trips, "trip_id").groupBy("stop_id").agg(F.count_distinct("route_id").cast("double").alias("terminals"))
     lengths = calls.groupBy("trip_id").agg((F.max("arrival") / 10.0).alias("length_km"))
     spans = ranking.route_span(calls.select("stop_id", "trip_id").distinct().join(lengths, "trip_id"), "stop_id", "length_km")
-    degree = ranking.degree(timetable.neighbours(calls)).select("stop_id", F.col("degree").cast("double").alias("centrality"))
+    degree = ranking.degree(timetable.neighbours(calls), distinct=True).select("stop_id", F.col("degree").cast("double").alias("centrality"))
     modes = calls.join(trips, "trip_id").groupBy("stop_id").agg(F.count_distinct("headsign").cast("double").alias("intermodal"))
     out = stops.select("stop_id", "lon", "lat", (F.col("stop_id") % 3 == 0).alias("is_rail"))
     for part in (platforms, n_calls, ends, spans.withColumn("span", F.round("span")), degree, modes):

@@ -127,7 +127,7 @@ e AS (SELECT stop_id, unnest([p, n]) AS o FROM w) SELECT stop_id, count(DISTINCT
 def adjacency_degree(t: Tables):
     from tramline.operators.ranking import degree
 
-    return degree(timetable.neighbours(views.calls(t)))
+    return degree(timetable.neighbours(views.calls(t)), distinct=True)
 
 
 _BOARD_SQL = f"""trips AS ({TRIPS_SQL}), calls AS ({CALLS_SQL}), stops AS ({STOPS_SQL}),
