@@ -2,8 +2,10 @@
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 from test_operators import rows
 
+from tramline.functions import lines, udfs
 from tramline.functions.protobuf import packed
 from tramline.operators import calendar, ranking, reads, realtime, spatial, structure, timetable
 from tramline.plans import QUERIES
@@ -119,3 +121,52 @@ def test_lines_are_cut_once_for_each_pair_of_places(spark):
     found = legs.join(patterns, "pattern_id").select("trip_id", "leg", "starts", "ends", F.size("points").alias("n")).collect()
     assert sorted(map(tuple, found)) == [(t, n, 100 * n, 100 * n + 100, 2 if t % 2 else 3) for t in range(300) for n in (1, 2)]
     assert patterns.count() == 4
+
+
+def test_line_columns_give_what_the_functions_give(spark):
+    def same(a, b):
+        if isinstance(a, (list, tuple)):
+            return len(a) == len(b) and all(same(x, y) for x, y in zip(a, b, strict=True))
+        return a is b if a is None or b is None else abs(a - b) < 1e-9
+
+    made = [[(0.0, 0.0), (4.0, 0.0), (4.0, 0.0), (4.0, 3.0)], [(0.0, 0.0), (0.0, 10.0)], [(1.0, 1.0)], [(2.0, 5.0), (2.0, 5.0)], [], [(0.0, 0.0), (3.0, 4.0), (6.0, 0.0), (0.5, 0.25)]]
+    data = [(i, a, b, x) for i, (a, b, x) in enumerate((a, b, x) for a in made for b in made for x in (-1.0, 0.0, 2.5, 4.0, 7.0, 99.0))]
+    of = "array<struct<x:double,y:double>>"
+    one, other, x = F.col("one"), F.col("other"), F.col("x")
+    found = spark.createDataFrame(data, f"id int, one {of}, other {of}, x double").select(
+        "id", lines.at_distance_udf(one, x).alias("at"), lines.project_udf(one, F.struct(x.alias("x"), F.lit(1.0).alias("y"))).alias("near"), lines.cut_out_udf(one, x - 3, x).alias("part"),
+        lines.densify_udf(one, F.lit(2.0)).alias("dense"), lines.hausdorff_udf(one, other).alias("far"), lines.overlap_udf(one, other, x).alias("over"),
+    )
+    assert lines.project_udf.evalType == lines.overlap_udf.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    for r, (_, a, b, d) in zip(found.orderBy("id").collect(), data, strict=True):
+        right = [lines.at_distance(a, d), lines.projected(a, (d, 1.0)), lines.cut_out(a, d - 3, d), lines.densified(a, 2.0), lines.hausdorff(a, b), lines.overlap(a, b, d)]
+        assert same(list(r)[1:], right), (a, b, d, r, right)
+    none = spark.sql(f"SELECT CAST(NULL AS {of}) AS one, CAST(1 AS DOUBLE) AS x")
+    got = none.select(lines.at_distance_udf(one, x), lines.project_udf(one, F.struct(x.alias("x"), x.alias("y"))), lines.cut_out_udf(one, x, x), lines.densify_udf(one, x), lines.hausdorff_udf(one, one), lines.overlap_udf(one, one, x)).first()
+    assert tuple(got) == (None, None, None, None, None, 0.0)
+
+
+def test_coded_lines_keep_nulls_and_empty_lines(spark):
+    of = "array<struct<lon:double,lat:double>>"
+    made = [[(0.0, 0.0), (5.0, 0.1), (10.0, 0.0)], None, [], [(1.5, 2.5)], [(-3.0, 0.0), (3.0, 0.0), (9.0, 9.0), (3.0, -1.0)]]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(made)], f"id int, line {of}").coalesce(1)
+    box = F.struct(*[F.lit(v).alias(n) for n, v in (("west", 0.0), ("south", -1.0), ("east", 4.0), ("north", 1.0))])
+    packed_text = udfs.inflated(udfs.deflated(F.when(F.col("id") > 0, F.col("id").cast("string")).cast("binary"))).cast("string")
+    found = rows.select("id", udfs.simplify_udf("line", F.lit(1.0)).alias("thin"), udfs.clip_udf("line", box).alias("parts"), udfs.polyline_points_udf(udfs.polyline_udf("line")).alias("back"), packed_text.alias("text"))
+    assert "ArrowEvalPython" in plan(found) and "BatchEvalPython" not in plan(found) and all(x.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF for x in (udfs.simplify_udf, udfs.clip_udf, udfs.polyline_udf, udfs.polyline_points_udf, udfs.deflated))
+    right = [(i, x and udfs.simplified(x, 1.0), x and udfs.clipped_line(x, (0.0, -1.0, 4.0, 1.0)), x, str(i) if i else None) for i, x in enumerate(made)]
+    plain = lambda x: [plain(y) for y in x] if isinstance(x, (list, tuple)) else x
+    assert plain(rows_in_order(found)) == plain(right)
+
+
+def rows_in_order(df):
+    return [tuple(r) for r in df.orderBy("id").collect()]
+
+
+def test_neighbours_are_told_apart_once(spark):
+    calls = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (1, 3, 8), (1, 4, 7), (2, 1, 8), (2, 2, 9), (3, 1, 9), (4, 1, 7), (4, 2, None), (4, 3, 9)], "trip_id int, stop_sequence int, stop_id int")
+    pairs = timetable.neighbours(calls)
+    assert rows(pairs.select("stop_id", "neighbour")) == [(7, 8), (8, 7), (8, 9), (9, 8)]
+    found = ranking.degree(pairs, distinct=True)
+    assert plan(found).count("Exchange") == 3 and "least(" in plan(found)  # by trip, by pair, by stop
+    assert rows(found) == [(7, 1), (8, 2), (9, 1)]
