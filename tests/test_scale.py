@@ -170,3 +170,13 @@ def test_neighbours_are_told_apart_once(spark):
     found = ranking.degree(pairs, distinct=True)
     assert plan(found).count("Exchange") == 3 and "least(" in plan(found)  # by trip, by pair, by stop
     assert rows(found) == [(7, 1), (8, 2), (9, 1)]
+
+
+def test_routes_that_meet_are_not_moved_as_pairs(spark):
+    table = lambda data, schema: spark.createDataFrame(data, schema)
+    trips = table([(n, n % 4, "x") for n in range(12)], "trip_id int, route_id int, headsign string")
+    calls = table([(n, 1, 100 + n % 4 // 2) for n in range(12)] + [(n, 2, 200 + n % 4 % 3) for n in range(12)], "trip_id int, stop_sequence int, stop_id int")
+    stops = table([(s, 1.0, 2.0) for s in (100, 101, 200, 201, 202)], "stop_id int, lon double, lat double")
+    found = reads.route_info(table([(r, 1) for r in range(5)], "route_id int, agency_id int"), table([(1, "a")], "agency_id int, agency_name string"), trips, calls, stops, table([], "alert_id int, route_id int"))
+    assert "other" not in plan(found) and dict(found.dtypes)["n_connecting"] == "bigint"
+    assert rows(found.select("route_id", "n_connecting")) == [(0, 2), (1, 1), (2, 1), (3, 2), (4, 0)]

@@ -43,7 +43,8 @@ def route_info(routes: DataFrame, agencies: DataFrame, trips: DataFrame, calls:
     at = patterns.select("route_id", F.explode("stop_ids").alias("stop_id")).distinct()
     places = at.join(stops.select("stop_id", "lon", "lat"), "stop_id").groupBy("route_id").agg(F.count("*").alias("n_stops"), *[f(c).alias(n) for n, f, c in (("west", F.min, "lon"), ("south", F.min, "lat"), ("east", F.max, "lon"), ("north", F.max, "lat"))])
     sets = stop_routes(at).select("stop_id", "route_ids")
-    met = at.join(sets, "stop_id").select("route_id", F.explode("route_ids").alias("other")).where("other <> route_id").groupBy("route_id").agg(F.count_distinct("other").alias("n_connecting"))
+    gathered = at.join(sets, "stop_id").select("route_id", "route_ids").repartition("route_id")
+    met = gathered.groupBy("route_id").agg(F.size(F.array_remove(F.array_distinct(F.flatten(F.collect_list("route_ids"))), F.col("route_id"))).cast("long").alias("n_connecting"))
     told = alerts.where("route_id IS NOT NULL").groupBy("route_id").agg(F.array_sort(F.collect_set("alert_id")).alias("alert_ids"))
     out = routes.join(agencies, "agency_id", "left")
     for part in (directions, places, met, told):
