@@ -1,5 +1,8 @@
 """Plans and results that must hold at any size: rows at one place, no exploded side sent to every task."""
 
+import random
+from datetime import date
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
@@ -7,7 +10,7 @@ from test_operators import rows
 
 from tramline.functions import lines, udfs
 from tramline.functions.protobuf import packed
-from tramline.operators import calendar, ranking, reads, realtime, spatial, structure, timetable
+from tramline.operators import calendar, departures, ranking, reads, realtime, spatial, structure, timetable
 from tramline.plans import QUERIES
 from tramline.sources import realtime as realtime_source
 
@@ -180,3 +183,46 @@ def test_routes_that_meet_are_not_moved_as_pairs(spark):
     found = reads.route_info(table([(r, 1) for r in range(5)], "route_id int, agency_id int"), table([(1, "a")], "agency_id int, agency_name string"), trips, calls, stops, table([], "alert_id int, route_id int"))
     assert "other" not in plan(found) and dict(found.dtypes)["n_connecting"] == "bigint"
     assert rows(found.select("route_id", "n_connecting")) == [(0, 2), (1, 1), (2, 1), (3, 2), (4, 0)]
+
+
+def test_calls_lie_by_trip_and_move_once_more_by_stop(spark):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        laid, told = (plan(QUERIES[name](spark, "/root/testdata/sf0.001")) for name in ("rt_overlay", "alert_overlay"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert laid.count("Exchange") == 4  # calls and trips, of all and of those with updates
+    assert told.count("Exchange") == 6  # and calls and alerts by stop
+
+
+def test_updates_laid_among_calls_match_as_joins_do(spark):
+    made, days = random.Random(27), [date(2024, 1, 1), date(2024, 1, 2), None]
+    pick = lambda *of: made.choice(of)
+    calls = [(pick("a", "b", "c", None), pick(*days), pick(*range(1, 9), None), pick(*"STUV", None), n, n + 5) for n in range(400)]
+    upd = [(pick("a", "b", "d", None), pick(*days), pick(*"STUW", None), pick(*range(3, 12), None, None), *(pick(None, made.randrange(99)) for _ in "ad"), pick(None, "CANCELED", "A"), pick(None, "SKIPPED"), pick(None, "1"), pick(None, "v", "w")) for _ in range(60)]
+
+    def right(c):
+        same = [u for u in upd if None not in c[:2] and u[:2] == c[:2]]
+        most = lambda found: max((tuple((x is not None, x) if x is not None else (False,) for x in u) for u in found), default=None)
+        told = lambda u: (u[5], u[4], u[7], u[8])
+        best = most(told(u) for u in same if c[2] is not None and u[3] == c[2]) or most(told(u) for u in same if u[3] is None and c[3] is not None and u[2] == c[3])
+        leaves, comes, status, platform = (x[-1] if x[0] else None for x in best) if best else (None,) * 4
+        over = lambda i: max((u[i] for u in same if u[i] is not None), default=None)
+        return (*c, None if leaves is None else comes, comes if leaves is None else leaves, over(6) == "CANCELED", status == "SKIPPED", platform, over(9))
+
+    scheduled = spark.createDataFrame(calls, "trip_id string, date date, stop_sequence smallint, stop_id string, arrival long, departure long")
+    updates = spark.createDataFrame(upd, "trip_id string, date date, stop_id string, stop_sequence int, rt_arrival long, rt_departure long, trip_status string, stop_status string, platform string, vehicle string")
+    found = realtime.overlay(scheduled, updates)
+    assert found.schema[:6] == scheduled.schema[:6]
+    wanted = [right(c) for c in calls]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, wanted)) and len({x[6:] for x in wanted}) > 10
+    sequenced = updates.where("stop_sequence IS NOT NULL").withColumn("stop_sequence", F.coalesce("stop_sequence", F.lit(0)))  # never null, as the schema says
+    upd = [u for u in upd if u[3] is not None]
+    assert sorted(map(repr, map(tuple, realtime.overlay(scheduled, sequenced).collect()))) == sorted(repr(right(c)) for c in calls)
+    late = scheduled.withColumn("stop_cancelled", F.col("stop_sequence") == 3).withColumn("departure", F.when(F.col("arrival") % 2 == 0, F.col("departure")))
+    alerts = spark.createDataFrame([(1, "S", 100, 200), (1, "S", None, 20), (1, "T", 390, None), (2, "T", 0, None), (1, None, 0, None)], "effect int, stop_id string, start long, end long")
+    off = lambda s, at: s == "S" and (100 <= at <= 200 or at <= 20) or s == "T" and at >= 390
+    said = departures.cancelled_by_alert(late, alerts)
+    assert sorted(said.columns) == sorted(late.columns)
+    assert {r.arrival: r.stop_cancelled for r in said.collect()} == {c[4]: off(c[3], c[5] if c[4] % 2 == 0 else c[4]) or (None if c[2] is None else c[2] == 3) for c in calls}

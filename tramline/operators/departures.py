@@ -39,9 +39,10 @@ def cancelled_by_alert(events: DataFrame, alerts: DataFrame) -> DataFrame:
     """``stop_cancelled`` also where an alert of effect 1 names the stop and is in force at the event; trips are never
     cancelled by alerts. ``alerts``: effect, stop_id, start, end (null: open). [D11]"""
     off = alerts.where("effect = 1 AND stop_id IS NOT NULL").groupBy("stop_id").agg(F.collect_set(F.struct("start", "end")).alias("__periods"))
-    at = F.coalesce("departure", "arrival")
+    at = F.col("__at")
     hit = F.exists("__periods", lambda p: (F.coalesce(p["start"], F.lit(0)) <= at) & (F.coalesce(p["end"], F.lit(1 << 62)) >= at))
-    return events.join(off, "stop_id", "left").withColumn("stop_cancelled", F.col("stop_cancelled") | F.coalesce(hit, F.lit(False))).drop("__periods")
+    timed = events.withColumn("__at", F.coalesce("departure", "arrival"))  # one time to move where the two aren't asked for
+    return timed.join(off, "stop_id", "left").withColumn("stop_cancelled", F.col("stop_cancelled") | F.coalesce(hit, F.lit(False))).drop("__periods", "__at")
 
 
 def nearby(calls: DataFrame, stops: DataFrame, lon: float, lat: float, start: int, end: int, metres: float = 5_000, per_station: int = 10, per_headsign: int = 20) -> DataFrame:
